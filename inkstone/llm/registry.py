@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from inkstone.llm import jaccard, lines, mixing, packing
+from inkstone.llm import jaccard, lines, mixing, packing, toxicity
 
-MODULES = [mixing, packing, lines, jaccard]
+MODULES = [mixing, packing, lines, jaccard, toxicity]
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
