@@ -48,10 +48,10 @@ FREQUENT = 24
 BLOCK_SHINGLES = 2_000_000
 
 
-def shingle_sets(texts: list[bytes], width: int, hashes: common.WordHashes) -> list[np.ndarray]:
+def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
     """Sorted distinct 64-bit shingle hashes of each text."""
     words = [t.lower().split() for t in texts]  # bytes.lower and bytes.split know ASCII only
-    flat = hashes.of([w for ws in words for w in ws])
+    flat = common.WORD_HASHES.of([w for ws in words for w in ws])
     rolled, out, at = common.rolling(flat, width), [], 0
     for ws in words:
         n = len(ws)
@@ -66,11 +66,10 @@ def shingle_sets(texts: list[bytes], width: int, hashes: common.WordHashes) -> l
 
 
 def sets_of(batches: Iterator[pa.RecordBatch], width: int, column: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    hashes = common.WordHashes()
     for batch in batches:
         for at in range(0, batch.num_rows, 250):
             part = batch.slice(at, 250)
-            yield part, shingle_sets(common.as_bytes(part.column(column)), width, hashes)
+            yield part, shingle_sets(common.as_bytes(part.column(column)), width)
 
 
 def counter(shingles: np.ndarray) -> np.ndarray:
@@ -206,7 +205,6 @@ def verified(rows: DataFrame, width: int, percent: int, keys: tuple[str, ...]) -
     """True links within the groups that keys name; rows have node, known (class so far), text."""
 
     def in_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = common.WordHashes()
         for part in runs(batches, keys):
             group = np.zeros(part.num_rows, np.int64)
             for k in keys:
@@ -218,7 +216,7 @@ def verified(rows: DataFrame, width: int, percent: int, keys: tuple[str, ...]) -
                 if hi - lo < 2:
                     continue
                 here = part.slice(lo, hi - lo).combine_chunks()
-                sets = shingle_sets(common.as_bytes(here["text"].combine_chunks()), width, hashes)
+                sets = shingle_sets(common.as_bytes(here["text"].combine_chunks()), width)
                 node, sizes = here["node"].to_numpy(), np.array([len(s) for s in sets], np.int64)
                 classes, first = rtree.Classes(len(node)), {}
                 for i, known in enumerate(here["known"].to_pylist()):
