@@ -14,6 +14,8 @@ the input other than id and text are ignored, whatever their names.
 from __future__ import annotations
 
 import math
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstone.llm import common
-from inkstone.plans.staging import drop, stage
+from inkstone.plans.staging import stage
 
 LIMIT = 2048
 END_ID = 0
@@ -67,53 +69,100 @@ def best_fit(lengths: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray, n
     return where, at, np.array(fills, np.int64)
 
 
-class TokenIds(dict):
+#: A word and one mark behind its last letter or digit: the tokenizer parts the two.
+MARKED = re.compile(rb"[^<]*(?:[a-z0-9]|\xc3[\xa0-\xb6\xb8-\xbf])[.,;:!?]\Z")
+#: Chunks that a worker keeps (about 80 MB); the first seen stay, as they are the frequent ones.
+CACHE_CHUNKS = 400_000
+
+
+class TokenIds:
     """Token ids, as bytes, of chunks between ASCII white space.
 
-    The tokenizer's rules never join what white space parts, so a text's ids are those of
-    its chunks in order, and frequent chunks are encoded once.
+    The tokenizer lower-cases, and its rules never join what white space parts, so a text's
+    ids are those of its lower-cased chunks in order, and frequent chunks are encoded once.
+    Chunks of letters only give one token with a word's end each, so many of them are encoded
+    as one text and cut after these tokens.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core; threads would only hold memory
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.known, self.fresh = Tokenizer.from_file(path), {}, set()
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    @staticmethod
+    def chunks(text: bytes) -> list[bytes]:
+        """Chunks of a text; one that may hold a special token's string keeps its case."""
+        return text.split() if b"<|" in text else text.lower().split()
 
     def learn(self, texts: list[list[bytes]]) -> None:
-        if len(self) > common.CACHE_WORDS:
-            self.clear()
-        fresh = list({w for words in texts for w in words if w not in self})
-        for at in range(0, len(fresh), 20_000):
-            part = fresh[at : at + 20_000]
-            for word, e in zip(part, self.tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self[word] = np.array(e.ids, "<u4").tobytes()
+        known = self.known
+        self.fresh = set().union(*texts).difference(known)
+        marked = [w for w in self.fresh if MARKED.match(w)]
+        if marked:  # the word's ids and then the mark's
+            self.fresh.update({w[:-1] for w in marked}.difference(known), {w[-1:] for w in marked}.difference(known))
+            self._encode([w for w in self.fresh if not MARKED.match(w)])
+            known.update((w, known[w[:-1]] + known[w[-1:]]) for w in marked)
+        else:
+            self._encode(list(self.fresh))
+
+    def _encode(self, words: list[bytes]) -> None:
+        known, encode = self.known, self.tokenizer.encode_batch_fast
+        plain = [w for w in words if w.decode().isalpha()]
+        for at in range(0, len(plain), 2000):
+            part = plain[at : at + 2000]
+            ids = np.array(encode([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
+            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(cuts) == len(part):  # else a letter was normalised to something else
+                raw, start = ids.tobytes(), 0
+                for word, cut in zip(part, cuts, strict=True):
+                    known[word] = raw[4 * start : 4 * cut]
+                    start = cut
+        other = [w for w in words if w not in known]
+        for word, e in zip(other, encode([w.decode() for w in other], add_special_tokens=False), strict=True):
+            known[word] = np.array(e.ids, "<u4").tobytes()
+
+    def forget(self) -> None:
+        """Drop what was learnt last if the cache is full."""
+        if len(self.known) > CACHE_CHUNKS:
+            for word in self.fresh:
+                del self.known[word]
+        self.fresh = set()
 
     def ids(self, words: list[bytes]) -> bytes:
-        return b"".join(map(self.__getitem__, words))
+        return b"".join(map(self.known.__getitem__, words))
+
+
+_KNOWN: dict[str, TokenIds] = {}  # kept by a worker from task to task
 
 
 def tokenised(batches: Iterator[pa.RecordBatch], path: str, end_id: int, limit: int) -> Iterator[tuple[list, list, list, list, list]]:
     """Pieces of at most limit tokens: document, number, start, length, checksum."""
-    known, end = TokenIds(path), end_id.to_bytes(4, "little")
+    if path not in _KNOWN:
+        _KNOWN[path] = TokenIds(path)
+    known, end = _KNOWN[path], end_id.to_bytes(4, "little")
     for batch in batches:
-        texts = [b.split() for b in common.as_bytes(batch.column(1))]
-        for lo in range(0, len(texts), 500):
-            known.learn(texts[lo : lo + 500])
+        for lo in range(0, batch.num_rows, 600):
+            part = batch.slice(lo, 600)
+            texts = [known.chunks(b) for b in common.as_bytes(part.column(1))]
+            known.learn(texts)
             out: tuple[list, list, list, list, list] = ([], [], [], [], [])
-            for doc, words in zip(batch.column(0)[lo : lo + 500].to_pylist(), texts[lo : lo + 500], strict=True):
+            for doc, words in zip(part.column(0).to_pylist(), texts, strict=True):
                 ids = memoryview(known.ids(words) + end)
                 for piece, start in enumerate(range(0, len(ids) // 4, limit)):
-                    part = ids[4 * start : 4 * (start + limit)]
-                    for column, value in zip(out, (doc, piece, start, len(part) // 4, zlib.crc32(part)), strict=True):
+                    cut = ids[4 * start : 4 * (start + limit)]
+                    for column, value in zip(out, (doc, piece, start, len(cut) // 4, zlib.crc32(cut)), strict=True):
                         column.append(value)
+            known.forget()
             yield out
 
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, end_id: int = END_ID, items_per_task: int = ITEMS_PER_TASK) -> DataFrame:
     """One row per piece: where it starts in its document and where it lies in which sequence."""
-    spark = docs.sparkSession
-    common.small_batches(spark)
+    common.small_batches(docs.sparkSession)
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), *((n, pa.int64()) for n in ("start", "length", "ids_crc32", "bin", "at", "fill"))])
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -45,7 +45,7 @@ def check(rows, out, limit):
 
 def test_pieces_and_layout(spark):
     rng = np.random.default_rng(5)
-    rows = [(i, " ".join("It's don't Straße naïve été 12345 !? ΟΔΟΣ  x".split(" ")[j] for j in rng.integers(0, 9, n)), "a", 1) for i, n in enumerate(rng.integers(0, 400, 150))]
+    rows = [(i, " ".join("It's don't İstanbul, e\u0301a. A\u0301b; <|ENDOFTEXT|> É. 9. a.. Straße naïve été 12345 !? ΟΔΟΣ  x".split(" ")[j] for j in rng.integers(0, 16, n)), "a", 1) for i, n in enumerate(rng.integers(0, 400, 150))]
     rows += [(900, None, None, None), (901, "", "", 0), (902, " \n\t", "b", 2), (902, " \n\t", "b", 2), (None, "ab cd é", "c", 3), (903, "word " * 9000, "d", 4), (904, "<|endoftext|> a<|startoftext|>b", "", 5)]
     out = packing.pack(spark.createDataFrame(rows, SCHEMA).repartition(5), packing.tokenizer_path(), limit=256).collect()
     used = check(rows, out, 256)
