@@ -60,9 +60,12 @@ logs AS (
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Positioned text blocks: a page per order, twenty pages a document, a block per line item."""
+    """Positioned text blocks: a page per four orders, twenty pages a document, a block per line
+    item, in five columns and sixty rows that are a little uneven."""
     li = table(spark, sf_dir, "lineitem")
-    seq = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"))
+    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
+    page = F.floor(F.col("l_orderkey") / 4).cast("long")
+    seq = F.row_number().over(W.partitionBy(page).orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate"))
     kind = F.pmod("l_partkey", F.lit(6))
     text = (
         F.when(kind == 0, F.concat(F.lit("Section "), "l_linenumber", F.lit(":")))
@@ -73,12 +76,12 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.concat(F.lit("a paragraph of more words than a heading may have, so that it is taken for what it is and for nothing else in any rule of the detector about part "), "l_partkey"))
     )
     return li.select(
-        F.floor(F.col("l_orderkey") / 20).cast("long").alias("doc_id"),
-        F.col("l_orderkey").alias("page_num"),
+        F.floor(F.col("l_orderkey") / 80).cast("long").alias("doc_id"),
+        page.alias("page_num"),
         seq.alias("block_seq"),
         text.alias("text"),
-        (F.col("l_quantity") * 10).alias("x"),
-        (F.pmod(F.round(F.col("l_extendedprice") * 100).cast("long"), F.lit(80000)) / 100).alias("y"),
+        (F.pmod(F.col("l_quantity").cast("long"), F.lit(5)) * 110.0).alias("x"),
+        (F.pmod(cents, F.lit(60)) * 13.0 + F.pmod(F.floor(cents / 60), F.lit(5))).alias("y"),
         (F.length(text) * 5.0).alias("width"),
         F.lit(10.0).alias("height"),
         (F.round(F.col("l_discount") * 100) + 8).alias("font_size"),
@@ -89,8 +92,8 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 BLOCKS_SQL = """
 blocks AS (
   SELECT *, length(text) * 5.0::DOUBLE AS width, 10.0::DOUBLE AS height FROM (
-    SELECT l_orderkey // 20 AS doc_id, l_orderkey AS page_num,
-           row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS block_seq,
+    SELECT l_orderkey // 80 AS doc_id, l_orderkey // 4 AS page_num,
+           row_number() OVER (PARTITION BY l_orderkey // 4 ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS block_seq,
            CASE l_partkey % 6
              WHEN 0 THEN 'Section ' || l_linenumber || ':'
              WHEN 1 THEN l_linenumber || '. item ' || l_partkey
@@ -98,7 +101,8 @@ blocks AS (
              WHEN 3 THEN 'short line ' || l_suppkey
              WHEN 4 THEN 'signed by supplier ' || l_suppkey
              ELSE 'a paragraph of more words than a heading may have, so that it is taken for what it is and for nothing else in any rule of the detector about part ' || l_partkey END AS text,
-           l_quantity * 10 AS x, (round(l_extendedprice * 100)::BIGINT % 80000) / 100.0::DOUBLE AS y,
+           (l_quantity::BIGINT % 5) * 110.0::DOUBLE AS x,
+           (round(l_extendedprice * 100)::BIGINT % 60) * 13.0::DOUBLE + round(l_extendedprice * 100)::BIGINT // 60 % 5 AS y,
            round(l_discount * 100) + 8 AS font_size, l_returnflag = 'R' AS is_bold
     FROM lineitem)
 )"""
