@@ -264,7 +264,8 @@ def lookup(urls: DataFrame, directory: DataFrame, folder: str, url_col: str = "u
             yield pa.RecordBatch.from_pylist(rows, schema=wanted_schema)
 
     wanted = urls.select(F.col(url_col).cast("string")).mapInArrow(route, "key string, index_file string").distinct()
-    sizes = wanted.groupBy("index_file").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks"))
+    wanted = stage(wanted, "wanted")
+    sizes = stage(wanted.groupBy("index_file").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks")), "wanted_sizes")
     wanted = wanted.join(sizes, "index_file").withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
     blocks = directory.join(sizes, "index_file").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
 
@@ -283,6 +284,7 @@ def lookup(urls: DataFrame, directory: DataFrame, folder: str, url_col: str = "u
                     lo += 1
         return pa.Table.from_pylist(records, schema=RECORDS)
 
+    wanted, blocks = stage(wanted.select("key", "index_file", "chunk"), "wanted_dealt"), stage(blocks.drop("chunks"), "blocks_dealt")
     on = ("index_file", "chunk")
     return wanted.groupBy(*on).cogroup(blocks.groupBy(*on)).applyInArrow(lambda a, b: search(a, b), RECORDS_DDL) if heads else spark.createDataFrame([], RECORDS_DDL)
 
