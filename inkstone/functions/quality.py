@@ -13,47 +13,68 @@ MIN_CONFIDENCE, MAX_BAD, MAX_GIBBERISH, MIN_CHARS_PER_PAGE = 0.62, 0.22, 0.35, 2
 SUSPECT = r"[\x{FFFD}\x00-\x08\x0E-\x1B{}\[\]<>|~^`]"
 FOREIGN = r"[^\x20-\x7E\x{A0}-\x{FF}\x{5D0}-\x{5EA}\x{5F0}-\x{5F4}\x{FB1D}-\x{FB4E}\x{200B}-\x{200F}\x{202A}-\x{202E}\n\r\t]"
 EDGE_MARKS = r"()\[\]{}.,:;'\x{22}!?%\x{20AA}$\x{20AC}#@&*/+\-=<>_|\\\x{2010}-\x{2015}\x{5BE}\x{5F3}\x{5F4}"
+_BLANK = WS[1:-1]
 EDGE_SCRIPTS = r"\x{590}-\x{5FF}\x{FB1D}-\x{FB4F}\x{600}-\x{6FF}\x{750}-\x{77F}A-Za-z0-9"
 
 
 def bad_char_ratio(text: Column) -> Column:
-    """Share of suspect characters among those that aren't white space; 1 for none."""
-    visible = F.regexp_replace(text, WS, "")
-    n = F.length(visible)
-    return F.when(n > 0, count(visible, SUSPECT) / n).otherwise(1.0)
+    """Share of suspect characters among those that aren't white space; 1 for none.
 
+    Characters are counted with regexp_count over runs where that is enough, which builds no
+    second text.
+    """
+    n = visible(text)
+    return F.when(n > 0, F.regexp_count(text, F.lit(SUSPECT)) / n).otherwise(1.0)
 
-def gibberish_ratio(text: Column) -> Column:
-    """Share of words with hardly a letter or digit; 1 without words."""
+
+#: White space, character by character, for translate.
+_SPACES = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+
+
+def visible(text: Column) -> Column:
+    """Number of characters that aren't white space."""
+    return F.length(F.translate(text, _SPACES, ""))
+
+
+def gibberish_ratio(text: Column, split: Column | None = None) -> Column:
+    """Share of words with hardly a letter or digit; 1 without words.
+
+    A word is gibberish with fewer than two letters or digits, or with fewer than 45 % of
+    them among its letters and numbers.  The second can only be where there are numbers that
+    are no digits.  split: the text's words, where they are at hand.
+    """
+    ws = words(text) if split is None else split
 
     def is_gibberish(w: Column) -> Column:
         kept = F.regexp_replace(w, r"[^\p{L}\p{N}]", "")
         return F.length(F.regexp_replace(kept, r"[^\p{L}\p{Nd}]", "")) < F.greatest(F.lit(2.0), F.length(kept) * 0.45)
 
-    ws = words(text)
-    return F.when(F.size(ws) > 0, F.size(F.filter(ws, is_gibberish)) / F.size(ws)).otherwise(1.0)
+    suspects = F.filter(ws, lambda w: ~w.rlike(r"[\p{L}\p{Nd}][^\p{Nl}\p{No}]*[\p{L}\p{Nd}]") | w.rlike(r"[\p{Nl}\p{No}]"))
+    return F.when(F.size(ws) > 0, F.size(F.filter(suspects, is_gibberish)) / F.size(ws)).otherwise(1.0)
 
 
 def foreign_ratio(text: Column) -> Column:
     """Share of characters outside the expected scripts; 0 for an empty text."""
-    return F.when(F.length(text) > 0, count(text, FOREIGN) / F.length(text)).otherwise(0.0)
+    return F.when(F.length(text) > 0, F.regexp_count(text, F.lit(FOREIGN)) / F.length(text)).otherwise(0.0)
 
 
 def edge_bad_ratio(text: Column) -> Column:
-    visible = F.regexp_replace(text, WS, "")
-    return count(visible, f"[^{EDGE_SCRIPTS}{EDGE_MARKS}]") / F.greatest(F.length(visible), F.lit(1))
+    return F.regexp_count(text, F.lit(f"[^{EDGE_SCRIPTS}{EDGE_MARKS}{_BLANK}]")) / F.greatest(visible(text), F.lit(1))
 
 
-def edge_gibberish_ratio(text: Column) -> Column:
-    def is_gibberish(w: Column) -> Column:
-        kept = F.regexp_replace(w, f"[{EDGE_MARKS}]", "")
+def edge_gibberish_ratio(text: Column, split: Column | None = None) -> Column:
+    """Share of words that are mostly signs, of unexpected scripts, or repeat a character."""
+    ws = words(text) if split is None else split
+
+    def is_gibberish(kept: Column) -> Column:
         n = F.length(kept)
         letters, weird = F.length(F.regexp_replace(kept, r"[^\p{L}\p{N}]", "")), count(kept, f"[^{EDGE_SCRIPTS}]")
-        repeated = kept.rlike(r"(.)\1{4,}")
-        return (n > 1) & ((letters / F.greatest(n, F.lit(1)) < 0.55) | (weird / F.greatest(n, F.lit(1)) > 0.25) | repeated)
+        return (n > 1) & ((letters / n < 0.55) | (weird / n > 0.25) | kept.rlike(r"(.)\1{4,}"))
 
-    ws = words(text)
-    return F.size(F.filter(ws, is_gibberish)) / F.greatest(F.size(ws), F.lit(1))
+    # words of expected letters and marks only, without a run, can't be gibberish
+    suspects = F.filter(ws, lambda w: w.rlike(rf"[^{EDGE_SCRIPTS}{EDGE_MARKS}]") | w.rlike(rf"([{EDGE_SCRIPTS}])(?:[{EDGE_MARKS}]*\1){{4,}}"))
+    found = F.filter(F.transform(suspects, lambda w: F.regexp_replace(w, f"[{EDGE_MARKS}]", "")), is_gibberish)
+    return F.size(found) / F.greatest(F.size(ws), F.lit(1))
 
 
 def quality_ok(confidence: Column, bad: Column, gibberish: Column, chars_per_page: Column) -> Column:

@@ -82,10 +82,11 @@ def heading_scores(lines: DataFrame) -> DataFrame:
 
 def document_quality(documents: DataFrame) -> DataFrame:
     """Recognition quality of each document's text (both profiles' measures)."""
-    t = F.coalesce(F.col("text"), F.lit(""))
-    return documents.select(
-        "doc_id", F.round(quality.bad_char_ratio(t), 9).alias("bad_char_ratio"), F.round(quality.gibberish_ratio(t), 9).alias("gibberish_ratio"), F.length(T.strip(t)).cast("double").alias("avg_chars_per_page"),
-        F.round(quality.foreign_ratio(t), 9).alias("foreign_ratio"), F.round(quality.edge_bad_ratio(t), 9).alias("edge_bad_ratio"), F.round(quality.edge_gibberish_ratio(t), 9).alias("edge_gibberish_ratio"),
+    rows = documents.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("t"))
+    rows, t, ws = rows.withColumn("ws", T.words(F.col("t"))), F.col("t"), F.col("ws")  # words are split once
+    return rows.select(
+        "doc_id", F.round(quality.bad_char_ratio(t), 9).alias("bad_char_ratio"), F.round(quality.gibberish_ratio(t, ws), 9).alias("gibberish_ratio"), F.length(T.strip(t)).cast("double").alias("avg_chars_per_page"),
+        F.round(quality.foreign_ratio(t), 9).alias("foreign_ratio"), F.round(quality.edge_bad_ratio(t), 9).alias("edge_bad_ratio"), F.round(quality.edge_gibberish_ratio(t, ws), 9).alias("edge_gibberish_ratio"),
     )
 
 
