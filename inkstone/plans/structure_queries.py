@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from inkstone.functions import text as T
-from inkstone.operators import lines, structure as S
+from inkstone.operators import detect, edge, lines, structure as S
 from inkstone.plans.text_queries import listed, matches, repeat_key
 from inkstone.sources import bridge
 from inkstone.sources.bridge import ELEMENTS_SQL, FACTS_SQL, LINES_SQL
@@ -110,7 +110,29 @@ def flagship(spark, sf_dir):
     return score.join(labels, "doc_id", "left").select("doc_id", "score", "status", "quality")
 
 
+def structure_detection(spark, sf_dir):
+    """Detected structure of all block documents, typed in turn so that every route is taken."""
+    b = bridge.blocks(spark, sf_dir)
+    kinds = F.array(*[F.lit(t) for t in ("general", "legal", "protocol", "workplan")])
+    types = b.select("doc_id").distinct().withColumn("doc_type", F.element_at(kinds, (F.pmod("doc_id", F.lit(4)) + 1).cast("int")))
+    return detect.detect(b, types=types)
+
+
+def edge_documents(spark, sf_dir):
+    return edge.documents(bridge.text_lines(bridge.table(spark, sf_dir, "documents")))
+
+
+def edge_rows(spark, sf_dir):
+    """Rows of the block pages, seen from the bottom."""
+    b = bridge.blocks(spark, sf_dir)
+    return edge.grouped_rows(b.select("doc_id", F.col("page_num").cast("int").alias("page_num"), F.col("block_seq").alias("line_index"), "text", "x", (800.0 - F.col("y")).alias("y"), "width", "font_size", F.col("is_bold").alias("bold"))).select("doc_id", "page_num", "row_no", "text", F.size("cell_texts").alias("n_cells"))
+
+
 QUERIES = {
+    "structure_detection": structure_detection,
+    "edge_documents": edge_documents,
+    "edge_counters": lambda s, d: edge.counters(edge_documents(s, d)),
+    "edge_rows": edge_rows,
     "html_elements": elements,
     "html_facts": facts,
     "bookmarks": lambda s, d: S.bookmarks(elements(s, d)),
