@@ -34,7 +34,7 @@ from inkstone.llm import common
 
 BITS, NGRAMS, WIDTH = 17, (3, 4, 5), 6
 SEGMENT = 3
-SAMPLE = 1500
+SAMPLE = 1200
 ROUNDS = 40
 #: Steps for the vectors, the softmax weights and the biases.
 STEP, DAMPING = (0.2, 0.1, 0.1), 0.05
@@ -59,8 +59,8 @@ def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
             continue
         inside = np.flatnonzero(word[: len(word) - n + 1] == word[n - 1 :])
         h = common.rolling(codes, n, 0x9E3779B97F4A7C15 + 2 * n)[inside]
-        owners.append(word[inside])
-        buckets.append((h >> np.uint64(64 - BITS)).astype(np.int64))
+        owners.append(word[inside].astype(np.int32))
+        buckets.append((h >> np.uint64(64 - BITS)).astype(np.int32))
     return np.concatenate(owners), np.concatenate(buckets)
 
 
@@ -89,14 +89,14 @@ class Sparse:
     def _order(keys: np.ndarray, values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
         order = np.argsort(keys, kind="stable")
         found, first = np.unique(keys[order], return_index=True)
-        return values[order], found, first, n
+        return values[order].astype(np.int32), found, first, n
 
     @staticmethod
     def _sums(order: tuple, x: np.ndarray) -> np.ndarray:
         values, found, first, n = order
         out = np.zeros((n, x.shape[1]), np.float32)
-        if len(found):
-            out[found] = np.add.reduceat(x[values], first, axis=0)
+        for j in range(x.shape[1] if len(found) else 0):  # a column at a time, for memory
+            out[found, j] = np.add.reduceat(x[:, j][values], first)
         return out
 
     def means(self, x: np.ndarray) -> np.ndarray:
@@ -124,7 +124,7 @@ def fit(texts: list[bytes], labels: np.ndarray, rounds: int = ROUNDS) -> Model:
         n_segments += parts
     # one more text, empty and clean
     labels, owner = np.append(labels, 0), np.array([*owner, len(texts)])
-    sequence, segment = np.array(sequence, np.int64), np.array(segment, np.int64)
+    sequence, segment = np.array(sequence, np.int32), np.array(segment, np.int32)
     if not index:
         return Model(np.zeros(1 << BITS, np.float32), 0.0, float(labels.mean()))
     y = labels[owner].astype(np.float32)
@@ -163,7 +163,7 @@ def fit(texts: list[bytes], labels: np.ndarray, rounds: int = ROUNDS) -> Model:
 def first_vectors(grams: Sparse, owner: np.ndarray, word: np.ndarray, labels: np.ndarray) -> np.ndarray:
     """Where training starts: log ratio of an n-gram's smoothed counts in toxic and clean texts."""
     n_words = len(grams.count)
-    pairs = np.unique(owner * n_words + word)
+    pairs = np.unique(owner.astype(np.int64) * n_words + word)
     toxic = labels[pairs // n_words] == 1
     counts = np.stack([np.bincount(pairs[side] % n_words, minlength=n_words) for side in (~toxic, toxic)], axis=1).astype(np.float32)
     counts = grams.sums_by_column(counts)
