@@ -15,8 +15,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: The same characters, for trim functions.
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Words that a worker's cache may hold (about 50 MB); the first seen stay, as they are the frequent ones.
-CACHE_WORDS = 300_000
+#: Words that a worker's cache may hold (about 35 MB); the first seen stay, as they are the frequent ones.
+CACHE_WORDS = 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

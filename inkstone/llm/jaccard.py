@@ -31,6 +31,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -45,7 +47,7 @@ COUNTER_BITS = 24
 TASK_LEAST = 3
 FREQUENT = 24
 #: Shingles of the sets that a task holds at once when it verifies a cluster.
-BLOCK_SHINGLES = 2_000_000
+BLOCK_SHINGLES = 1_000_000
 
 
 def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
@@ -104,9 +106,8 @@ def frequencies(docs: DataFrame, width: int) -> np.ndarray:
 SETS = "doc_id long, n long, c1 long, c2 long, prefix array<long>, point binary"
 
 
-def indexed(docs: DataFrame, width: int, percent: int) -> DataFrame:
+def indexed(docs: DataFrame, width: int, percent: int, order: Broadcast) -> DataFrame:
     """Per document: size and digest of its set, its prefix in the common order, its point."""
-    order = docs.sparkSession.sparkContext.broadcast(frequencies(docs, width))
     schema = pa.schema([*((c, pa.int64()) for c in ("doc_id", "n", "c1", "c2")), ("prefix", pa.list_(pa.int64())), ("point", pa.binary())])
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,7 +120,7 @@ def indexed(docs: DataFrame, width: int, percent: int) -> DataFrame:
                 c2.append(int(common.mixed(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64)))
                 length = n - -(-percent * n // 100) + 1 if n else 0
                 prefixes.append(s[np.argsort(level[counter(s)], kind="stable")[:length]].view(np.int64))
-                points.append(rtree.point(s).astype("<u4").tobytes() if n else b"")
+                points.append(rtree.point(s) if n else b"")
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(prefixes, schema.field("prefix").type), pa.array(points, pa.binary())], schema=schema)
 
     return docs.mapInArrow(describe, SETS)
@@ -180,20 +181,25 @@ def candidates(cell_rows: DataFrame, reps: DataFrame, percent: int) -> DataFrame
             at = bounds_of(part["cell"].to_numpy())
             node, sizes = part["node"].to_numpy(), part["n"].to_numpy()
             points, a, b = part["point"].combine_chunks(), [], []
-            pairs = np.flatnonzero(np.diff(at) == 2)
-            for lo in range(0, len(pairs), 2000):
-                first = at[pairs[lo : lo + 2000]]
-                p, q = (np.frombuffer(b"".join(points.take(pa.array(i)).to_pylist()), "<u4").reshape(len(i), -1) for i in (first, first + 1))
-                ok = np.minimum(p, q).sum(axis=1, dtype=np.int64) >= rtree.needed(sizes[first], sizes[first + 1], percent)
-                a.append(node[first[ok]])
-                b.append(node[first[ok] + 1])
-            for c in np.flatnonzero(np.diff(at) > 2):
-                here = slice(at[c], at[c + 1])
-                p = np.frombuffer(b"".join(points.slice(at[c], at[c + 1] - at[c]).to_pylist()), "<u4").reshape(at[c + 1] - at[c], -1)
-                p = p.astype(np.uint16) if p.max() < 65_536 else p
-                found = np.array(rtree.link(p, sizes[here], percent, rtree.Classes(len(p))), np.int64).reshape(-1, 2)
-                a.append(node[here][found[:, 0]])
-                b.append(node[here][found[:, 1]])
+            lengths = pc.binary_length(points).to_numpy(zero_copy_only=False)
+            cells_of = np.diff(at)
+            # cells of two sets whose points are of one shape are compared many at a time
+            first = at[:-1][cells_of == 2]
+            own = np.array(rtree.GROUPS)[np.searchsorted(rtree.SIZES, sizes, side="right") - 1]
+            alike = (lengths[first] == own[first]) & (lengths[first + 1] == own[first]) & (own[first + 1] == own[first])
+            for length in np.unique(lengths[first[alike]]):
+                pairs = first[alike & (lengths[first] == length)]
+                for lo in range(0, len(pairs), 1000):
+                    i = pairs[lo : lo + 1000]
+                    p, q = (np.frombuffer(b"".join(points.take(pa.array(r)).to_pylist()), np.uint8).reshape(len(i), -1) for r in (i, i + 1))
+                    ok = np.minimum(p, q).sum(axis=1, dtype=np.int64) >= rtree.needed(sizes[i], sizes[i + 1], percent)
+                    a.append(node[i[ok]])
+                    b.append(node[i[ok] + 1])
+            for start, n in [(i, 2) for i in first[~alike]] + list(zip(at[:-1][cells_of > 2], cells_of[cells_of > 2], strict=True)):
+                raw = points.slice(start, n).to_pylist()
+                found = np.array(rtree.link_sets(raw, sizes[start : start + n], percent, rtree.Classes(n)), np.int64).reshape(-1, 2)
+                a.append(node[start + found[:, 0]])
+                b.append(node[start + found[:, 1]])
             if a:
                 yield from common.batches_of(LINKS, {"a": np.concatenate(a), "b": np.concatenate(b)})
 
@@ -216,7 +222,7 @@ def verified(rows: DataFrame, width: int, percent: int, keys: tuple[str, ...]) -
                 if hi - lo < 2:
                     continue
                 here = part.slice(lo, hi - lo).combine_chunks()
-                sets = shingle_sets(common.as_bytes(here["text"].combine_chunks()), width)
+                sets = [x for lo_ in range(0, len(here), 250) for x in shingle_sets(common.as_bytes(here["text"].slice(lo_, 250).combine_chunks()), width)]
                 node, sizes = here["node"].to_numpy(), np.array([len(s) for s in sets], np.int64)
                 classes, first = rtree.Classes(len(node)), {}
                 for i, known in enumerate(here["known"].to_pylist()):
@@ -226,7 +232,7 @@ def verified(rows: DataFrame, width: int, percent: int, keys: tuple[str, ...]) -
                     both = len(np.intersect1d(sets[p], sets[q], assume_unique=True))
                     return 100 * both >= percent * (len(sets[p]) + len(sets[q]) - both)
 
-                for p, q in rtree.link(np.stack([rtree.point(s) for s in sets]), sizes, percent, classes, enough):
+                for p, q in rtree.link_sets([rtree.point(s) for s in sets], sizes, percent, classes, enough):
                     a.append(node[p])
                     b.append(node[q])
             if a:
@@ -273,7 +279,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     common.small_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sets = stage(indexed(docs, width, percent), "sets")
+    order = spark.sparkContext.broadcast(frequencies(docs, width))
+    sets = stage(indexed(docs, width, percent, order), "sets")
+    order.destroy()
     thin = sets.select("doc_id", "n", "c1", "c2")
     named = thin.filter("doc_id is not null and n > 0")
     first = stage(named.groupBy("n", "c1", "c2").agg(F.min("doc_id").alias("rep")), "representatives")

@@ -16,13 +16,63 @@ from collections.abc import Callable
 
 import numpy as np
 
-GROUPS = 256
 LEAF = 24
+#: Groups by size of a set: the bound tells sets apart while groups hold a few members each.
+#: Each number divides the next, so a finer point folds to a coarser one.
+SIZES, GROUPS = (0, 1200, 6000), (256, 1024, 4096)
 
 
-def point(hashes: np.ndarray, groups: int = GROUPS) -> np.ndarray:
-    """Counts per group; the group is taken from bits that nothing else uses."""
-    return np.bincount(((hashes >> np.uint64(7)) % np.uint64(groups)).astype(np.int64), minlength=groups).astype(np.uint16 if len(hashes) < 65_536 else np.uint32)
+def groups_for(n: int) -> int:
+    return GROUPS[sum(n >= s for s in SIZES) - 1]
+
+
+def point(hashes: np.ndarray) -> bytes:
+    """Counts per group as bytes, or as 32-bit numbers where a group is that full."""
+    groups = groups_for(len(hashes))
+    counts = np.bincount(((hashes >> np.uint64(7)) % np.uint64(groups)).astype(np.int64), minlength=groups)
+    return counts.astype(np.uint8 if counts.max() < 256 else "<u4").tobytes()
+
+
+def unpacked(raw: bytes, n: int, groups: int) -> np.ndarray:
+    """The point of a set of size n in no more groups than it was counted in."""
+    own = groups_for(n)
+    counts = np.frombuffer(raw, np.uint8 if len(raw) == own else "<u4")
+    return counts.reshape(own // groups, groups).sum(axis=0, dtype=np.uint32)
+
+
+class Part:
+    """Some of the positions of a union-find, numbered anew."""
+
+    def __init__(self, classes, rows: np.ndarray):
+        self.classes, self.rows = classes, rows.tolist()
+
+    def find(self, i: int) -> int:
+        return self.classes.find(self.rows[i])
+
+    def union(self, i: int, j: int) -> bool:
+        return self.classes.union(self.rows[i], self.rows[j])
+
+
+def link_sets(raw: list[bytes], sizes: np.ndarray, percent: int, classes, verify: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
+    """Links among sets of all sizes: a tree for each number of groups.
+
+    A tree takes the sets of its own sizes and those larger ones that may still link with
+    them, folded to its number of groups; every pair that may link meets in some tree.
+    """
+    out: list[tuple[int, int]] = []
+    for k, groups in enumerate(GROUPS):
+        high = SIZES[k + 1] if k + 1 < len(SIZES) else None
+        mine = (sizes >= SIZES[k]) & ((sizes < high) if high else True)
+        if not mine.any():
+            continue
+        rows = np.flatnonzero((sizes >= SIZES[k]) & ((percent * sizes <= 100 * high) if high else True))
+        if len(rows) < 2:
+            continue
+        points = np.stack([unpacked(raw[i], int(sizes[i]), groups) for i in rows.tolist()])
+        points = points.astype(np.uint16) if points.max() < 65_536 else points
+        check = None if verify is None else (lambda p, q, rows=rows: verify(int(rows[p]), int(rows[q])))
+        out += [(int(rows[p]), int(rows[q])) for p, q in link(points, sizes[rows], percent, Part(classes, rows), check)]
+    return out
 
 
 def needed(a: np.ndarray | int, b: np.ndarray | int, percent: int):

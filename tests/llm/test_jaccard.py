@@ -87,11 +87,12 @@ def test_components(spark):
     assert all(v == 500 for k, v in got.items() if k >= 500)
 
 
-def test_tree_misses_nothing():
+@pytest.mark.parametrize("scale", [1, 12, 60])
+def test_tree_misses_nothing(scale):
     rng = np.random.default_rng(8)
     sets = []
-    for _ in range(60):
-        base = np.unique(rng.integers(0, 2**63, 120).astype(np.uint64))
+    for _ in range(60 if scale == 1 else 14):
+        base = np.unique(rng.integers(0, 2**63, 110 * scale).astype(np.uint64))
         for _ in range(5):
             keep = rng.random(len(base)) > rng.random() * 0.15
             sets.append(np.unique(np.concatenate([base[keep], rng.integers(0, 2**63, 5).astype(np.uint64)])))
@@ -102,7 +103,7 @@ def test_tree_misses_nothing():
         return 100 * both >= 80 * (sizes[p] + sizes[q] - both)
 
     got, want = rtree.Classes(len(sets)), rtree.Classes(len(sets))
-    rtree.link(np.stack([rtree.point(s) for s in sets]), sizes, 80, got, enough)
+    rtree.link_sets([rtree.point(s) for s in sets], sizes, 80, got, enough)
     for i in range(len(sets)):
         for j in range(i):
             if enough(i, j):
