@@ -15,8 +15,16 @@ from inkstone.functions.text import NWS, WS, clean, estimated_width
 LINES_PER_PAGE = 40
 
 
+#: Tables of long texts, on which expressions are dear.
+TEXT_TABLES = ("documents", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A stored table.  Texts that come in fewer pieces than half the cores are dealt out anew,
+    which only happens for small tables: large ones have many files or row groups."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in TEXT_TABLES and df.rdd.getNumPartitions() < cores / 2 else df
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
