@@ -418,3 +418,30 @@ def pass_rate(checks: DataFrame, alts: Column | None = None, tables: Column | No
         if test is not None:
             d = d.withColumn("score", F.when(test, F.least(F.col("score") + bonus, F.lit(100))).otherwise(F.col("score")))
     return d
+
+
+def wrapped(items: DataFrame, each_row: bool = False) -> DataFrame:
+    """Suggested items with runs of li wrapped in a list and runs of tr in a table.
+
+    items: doc_id, page_num, ord, type, text.  each_row: every tr is a table of its own, as
+    where suggestions are merged with detected elements.  Gives (doc_id, page_num, ord,
+    elem_type, text, n_items) of the top-level elements.
+    """
+    by_ord = W.partitionBy("doc_id", "page_num").orderBy("ord")
+    kind = F.lower("type")
+    group = F.when(kind == "li", "L").when(kind == "tr", "Table")
+    rows = items.withColumn("g", group)
+    joins = F.coalesce(F.col("g") == F.lag("g").over(by_ord), F.lit(False)) & ~((F.col("g") == "Table") & F.lit(each_row))
+    rows = rows.withColumn("k", F.sum((~joins).cast("int")).over(by_ord.rowsBetween(W.unboundedPreceding, 0)))
+    named = F.coalesce("g", F.when(kind.isin("h1", "h2", "h3", "p"), F.upper("type")).otherwise("P"))
+    return rows.groupBy("doc_id", "page_num", "k").agg(F.min("ord").alias("ord"), F.min_by(named, "ord").alias("elem_type"), F.min_by(F.when(F.col("g").isNull(), F.coalesce("text", F.lit(""))).otherwise(""), "ord").alias("text"), F.count("g").alias("n_items")).drop("k")
+
+
+def inspect(elements: DataFrame, deepest: int = 50) -> DataFrame:
+    """What a structure tree holds: (doc_id, elem_type, n, max_depth, warnings).
+
+    elements: doc_id, elem_type, depth, alt.  Warns of alternative text on grouping elements.
+    """
+    rows = elements.filter(F.col("depth") <= deepest)
+    grouped = F.col("elem_type").isin(*GROUPING, "L", "LI", "Table", "TR") & (F.coalesce(F.col("alt"), F.lit("")) != "")
+    return rows.groupBy("doc_id", "elem_type").agg(F.count(F.lit(1)).alias("n"), F.max("depth").alias("max_depth"), F.count_if(grouped).alias("warnings"))
