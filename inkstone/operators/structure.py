@@ -445,3 +445,20 @@ def inspect(elements: DataFrame, deepest: int = 50) -> DataFrame:
     rows = elements.filter(F.col("depth") <= deepest)
     grouped = F.col("elem_type").isin(*GROUPING, "L", "LI", "Table", "TR") & (F.coalesce(F.col("alt"), F.lit("")) != "")
     return rows.groupBy("doc_id", "elem_type").agg(F.count(F.lit(1)).alias("n"), F.max("depth").alias("max_depth"), F.count_if(grouped).alias("warnings"))
+
+
+REPLY = "array<struct<type: string, text: string, cells: array<struct<type: string, text: string>>>>"
+
+
+def suggested_items(replies: DataFrame) -> DataFrame:
+    """Items from a model's replies (doc_id, page_num, reply): the JSON array in the text, fences
+    and words around it left out; replies without one give no rows."""
+    found = F.from_json(F.regexp_extract("reply", r"(?s)\[.*\]", 0), REPLY)
+    rows = replies.select("doc_id", "page_num", F.posexplode(found).alias("ord", "i"))
+    return rows.select("doc_id", "page_num", "ord", "i.type", "i.text", "i.cells")
+
+
+def suggested_cells(items: DataFrame) -> DataFrame:
+    """Cells of suggested rows: (doc_id, page_num, ord, col_no, role, text)."""
+    rows = items.filter(F.lower("type") == "tr").select("doc_id", "page_num", "ord", F.posexplode("cells").alias("c", "cell"))
+    return rows.select("doc_id", "page_num", "ord", (F.col("c") + 1).alias("col_no"), F.when(F.lower("cell.type") == "th", "TH").otherwise("TD").alias("role"), F.col("cell.text").alias("text"))

@@ -55,3 +55,10 @@ def test_inspect(spark):
     rows = [(1, "Sect", 0, "alt"), (1, "H1", 1, None), (1, "H1", 2, "x"), (1, "P", 51, None)]
     got = {(r.elem_type, r.n, r.max_depth, r.warnings) for r in structure.inspect(spark.createDataFrame(rows, "doc_id long, elem_type string, depth int, alt string")).collect()}
     assert got == {("Sect", 1, 0, 1), ("H1", 2, 2, 0)}
+
+
+def test_replies(spark):
+    reply = '```json\n[{"type": "h2", "text": "T"}, {"type": "tr", "cells": [{"type": "th", "text": "a"}, {"type": "td", "text": "b"}]}]\n```'
+    items = structure.suggested_items(spark.createDataFrame([(1, 1, reply), (2, 1, "none"), (3, 1, None)], "doc_id long, page_num int, reply string"))
+    assert [(r.ord, r.type, r.text) for r in items.orderBy("ord").collect()] == [(0, "h2", "T"), (1, "tr", None)]
+    assert [(r.ord, r.col_no, r.role, r.text) for r in structure.suggested_cells(items).orderBy("col_no").collect()] == [(1, 1, "TH", "a"), (1, 2, "TD", "b")]
