@@ -90,7 +90,7 @@ def pieces(batch: pa.RecordBatch, rows: int = 250) -> Iterator[pa.RecordBatch]:
 
 
 def anchors(docs: DataFrame, span: int, k: int) -> DataFrame:
-    """Per document: words, digests of their sequence, hashes of its anchors at all places."""
+    """Per document: words, digests of their sequence, hashes of its anchors, each twice at most."""
     schema = pa.schema([*((c, pa.int64()) for c in ("doc_id", "th", "n", "d1", "d2")), ("anchors", pa.list_(pa.int64()))])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,6 +100,12 @@ def anchors(docs: DataFrame, span: int, k: int) -> DataFrame:
                 new = np.ones(len(e.starts), bool)
                 new[1:] = e.anchors[1:] != e.anchors[:-1]
                 owner, values = e.doc[new], e.hash_of_anchor[new].view(np.int64)
+                # two places in a document say all there is to say, so no document heats an anchor
+                order = np.lexsort((values, owner))
+                owner, values = owner[order], values[order]
+                third = np.zeros(len(values), bool)
+                third[2:] = (values[2:] == values[:-2]) & (owner[2:] == owner[:-2])
+                owner, values = owner[~third], values[~third]
                 offsets = np.searchsorted(owner, np.arange(part.num_rows + 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(e.n), pa.array(e.digests[0]), pa.array(e.digests[1]), lists], schema=schema)
