@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from inkstone.functions import text as T
 from inkstone.operators import detect, edge, lines, structure as S
+from inkstone.plans.staging import stage
 from inkstone.plans.text_queries import listed, matches, repeat_key
 from inkstone.sources import bridge
 from inkstone.sources.bridge import ELEMENTS_SQL, FACTS_SQL, LINES_SQL
@@ -39,7 +40,7 @@ def gate(spark, sf_dir):
 
 
 def compliance(spark, sf_dir):
-    f = features(spark, sf_dir)
+    f = stage(features(spark, sf_dir), "features")
     return S.compliance_score(f, S.findings(f))
 
 
@@ -97,14 +98,14 @@ def mark_assignment(spark, sf_dir):
 def flagship(spark, sf_dir):
     """From documents to verdicts: lines, running lines removed, elements, findings, score."""
     docs = bridge.table(spark, sf_dir, "documents")
-    rows = bridge.text_lines(docs).join(docs.select("doc_id", "source"), "doc_id")
-    kept = lines.without_repeated(rows, 0.1, "source")
+    rows = stage(bridge.text_lines(docs, keep=("source",)), "lines")
+    kept = stage(lines.without_repeated(rows, 0.1, "source"), "kept_lines")
     scored = lines.heading_scores(kept)
     t = F.col("text")
     kind = F.when(T.is_list_item(t), "LI").when(F.col("level").isNotNull(), F.concat(F.lit("H"), "level")).otherwise("P")
     e = kept.join(scored, ["doc_id", "page_num", "line_index"]).select("doc_id", (F.col("page_num") * 1000 + F.col("line_index")).alias("ord"), kind.alias("elem_type"), "text", "page_num")
     meta = docs.select("doc_id", "lang", F.col("source").alias("title"))
-    f = S.features(e, meta)
+    f = stage(S.features(e, meta), "features")
     score = S.compliance_score(f, S.findings(f)).select("doc_id", "score", "status")
     labels = bridge.table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     return score.join(labels, "doc_id", "left").select("doc_id", "score", "status", "quality")

@@ -22,8 +22,7 @@ def _lines(f):
 
 
 def _sourced(spark, sf_dir):
-    docs = bridge.table(spark, sf_dir, "documents")
-    return bridge.text_lines(docs).join(docs.select("doc_id", "source"), "doc_id")
+    return bridge.text_lines(bridge.table(spark, sf_dir, "documents"), keep=("source",))
 
 
 def repeated_lines_ratio10(spark, sf_dir):

@@ -116,14 +116,14 @@ blocks AS (
 )"""
 
 
-def text_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lines_per_page: int = LINES_PER_PAGE) -> DataFrame:
+def text_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", lines_per_page: int = LINES_PER_PAGE, keep: tuple[str, ...] = ()) -> DataFrame:
     """Plain text as layout lines: normalised, blanks dropped, with made-up geometry.
 
     Lines stand 14 points apart from 800 downwards on each page; pages of a fixed number of
-    lines are this engine's own addition.
+    lines are this engine's own addition.  keep: further columns to carry along.
     """
     lines = F.filter(F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), r"\r?\n", -1), clean), lambda t: t != "")
-    rows = documents.select(F.col(id_col).alias("doc_id"), F.posexplode(lines).alias("line_no", "text"))
+    rows = documents.select(F.col(id_col).alias("doc_id"), *keep, F.posexplode(lines).alias("line_no", "text"))
     index = F.pmod("line_no", F.lit(lines_per_page))
     return rows.select(
         "doc_id",
@@ -135,6 +135,7 @@ def text_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
         estimated_width(F.col("text"), 12.0).alias("width"),
         F.lit(12.0).alias("font_size"),
         F.when(index == 0, 0.0).otherwise(14.0).alias("gap_before"),
+        *keep,
     )
 
 
