@@ -27,11 +27,11 @@ rows without an id come last; extra columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -136,12 +136,17 @@ def repeated(rows: DataFrame) -> DataFrame:
     return rows.repartition("anchor").sortWithinPartitions("anchor").select("doc_id", "th", "anchor").mapInArrow(stream, "doc_id long, th long, anchor long")
 
 
-PATHS = "anchor long, path long, doc_id long, th long, start long, edges array<long>"
+PATHS = "anchor long, path long, doc_id long, th long, start long, n long, source_doc long, source_start long, deal long, edges array<long>"
 
 
 def paths(docs: DataFrame, span: int, k: int) -> DataFrame:
-    """The paths of repeated anchors; docs has doc_id, th, text, repeated (a list of anchors)."""
-    schema = pa.schema([*((c, pa.int64()) for c in ("anchor", "path", "doc_id", "th", "start")), ("edges", pa.list_(pa.int64()))])
+    """The paths of repeated anchors; docs has doc_id, th, text, repeated (a list of anchors).
+
+    Of equal paths that a task sees together only the first is still open; the others have it
+    as their source and are dealt out by their document, so a path that stands everywhere
+    heats no task.
+    """
+    schema = pa.schema([*((c, pa.int64()) for c in ("anchor", "path", "doc_id", "th", "start", "n", "source_doc", "source_start", "deal")), ("edges", pa.list_(pa.int64()))])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,9 +165,19 @@ def paths(docs: DataFrame, span: int, k: int) -> DataFrame:
                     path = np.add.reduceat(value, lo[:-1])
                 first = lo[:-1]
                 ids, th = part.column(0).to_numpy(), part.column(1).to_numpy()
-                edges = pa.ListArray.from_arrays(pa.array(lo.astype(np.int32)), pa.array(hashes.view(np.int64)))
-                columns = [a[first].view(np.int64), path.view(np.int64), ids[doc[first]], th[doc[first]], starts[first] - e.first[doc[first]]]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), edges], schema=schema)
+                key, path = a[first].view(np.int64), path.view(np.int64)
+                ids, th, start = ids[doc[first]], th[doc[first]], starts[first] - e.first[doc[first]]
+                order = np.lexsort((start, th, ids, path, key))
+                head = np.ones(len(order), bool)
+                head[1:] = (key[order][1:] != key[order][:-1]) | (path[order][1:] != path[order][:-1])
+                at_head = np.flatnonzero(head)
+                source = np.empty(len(order), np.int64)
+                source[order] = order[np.repeat(at_head, np.diff(np.append(at_head, len(order))))]
+                same = (ids == ids[source]) & (th == th[source]) & (start == start[source])
+                sizes = np.diff(lo)
+                edges = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(same, sizes, 0))]).astype(np.int32)), pa.array(hashes[np.repeat(same, sizes)].view(np.int64)))
+                columns = [key, path, ids, th, start, sizes, pa.array(ids[source], mask=same), pa.array(start[source], mask=same), np.where(same, key, common.mixed((ids ^ th).view(np.uint64)).view(np.int64))]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), edges], schema=schema)
 
     return docs.select("doc_id", "th", "text", "repeated").mapInArrow(cut, PATHS)
 
@@ -178,6 +193,13 @@ def compacted(rows: DataFrame) -> DataFrame:
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, joined = None, False  # the last first place, and whether it is known to branch
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            decided = pc.is_valid(batch.column("source_doc"))
+            done = batch.filter(decided)
+            none = np.zeros(done.num_rows, np.int64)
+            yield from common.batches_of(GONE, {c: done.column(c) for c in ("doc_id", "th", "start", "n", "source_doc", "source_start")} | {"anchor": none, "edge": pa.nulls(len(none), pa.int64())})
+            batch = batch.filter(pc.invert(decided))
             if not batch.num_rows:
                 continue
             table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
@@ -209,7 +231,7 @@ def compacted(rows: DataFrame) -> DataFrame:
         nulls = pa.nulls(int(n.sum()), pa.int64())
         yield from common.batches_of(GONE, {"doc_id": spread("doc_id"), "th": spread("th"), "start": spread("start") + inner, "n": np.ones(n.sum(), np.int64), "source_doc": nulls, "source_start": nulls, "anchor": spread("anchor"), "edge": lists.flatten()})
 
-    return rows.repartition("anchor").sortWithinPartitions("anchor", "path", "doc_id", "th", "start").mapInArrow(stream, GONE_DDL)
+    return rows.repartition("deal").sortWithinPartitions("anchor", "path", "doc_id", "th", "start").mapInArrow(stream, GONE_DDL)
 
 
 def later_edges(rows: DataFrame) -> DataFrame:
