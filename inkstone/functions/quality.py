@@ -17,6 +17,13 @@ _BLANK = WS[1:-1]
 EDGE_SCRIPTS = r"\x{590}-\x{5FF}\x{FB1D}-\x{FB4F}\x{600}-\x{6FF}\x{750}-\x{77F}A-Za-z0-9"
 
 
+# runs of characters below 256 that are certainly fine; the engine's regexes test these by table,
+# while long classes of ranges are tested range by range, so these are taken away first
+_PLAIN = r"[\x09\x0A\x0D\x20-\x7E\xA0-\xFF]++"
+_EDGE_ASCII = r"[A-Za-z0-9()\[\]{}.,:;'\x22!?%$#@&*/+\-=<>_|\\]"
+_EDGE_PLAIN = _EDGE_ASCII[:-1] + r"\x09-\x0D\x20]++"
+
+
 def bad_char_ratio(text: Column) -> Column:
     """Share of suspect characters among those that aren't white space; 1 for none.
 
@@ -55,11 +62,11 @@ def gibberish_ratio(text: Column, split: Column | None = None) -> Column:
 
 def foreign_ratio(text: Column) -> Column:
     """Share of characters outside the expected scripts; 0 for an empty text."""
-    return F.when(F.length(text) > 0, F.regexp_count(text, F.lit(FOREIGN)) / F.length(text)).otherwise(0.0)
+    return F.when(F.length(text) > 0, F.regexp_count(F.regexp_replace(text, _PLAIN, ""), F.lit(FOREIGN)) / F.length(text)).otherwise(0.0)
 
 
 def edge_bad_ratio(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(f"[^{EDGE_SCRIPTS}{EDGE_MARKS}{_BLANK}]")) / F.greatest(visible(text), F.lit(1))
+    return F.regexp_count(F.regexp_replace(text, _EDGE_PLAIN, ""), F.lit(f"[^{EDGE_SCRIPTS}{EDGE_MARKS}{_BLANK}]")) / F.greatest(visible(text), F.lit(1))
 
 
 def edge_gibberish_ratio(text: Column, split: Column | None = None) -> Column:
@@ -72,7 +79,7 @@ def edge_gibberish_ratio(text: Column, split: Column | None = None) -> Column:
         return (n > 1) & ((letters / n < 0.55) | (weird / n > 0.25) | kept.rlike(r"(.)\1{4,}"))
 
     # words of expected letters and marks only, without a run, can't be gibberish
-    suspects = F.filter(ws, lambda w: w.rlike(rf"[^{EDGE_SCRIPTS}{EDGE_MARKS}]") | w.rlike(rf"([{EDGE_SCRIPTS}])(?:[{EDGE_MARKS}]*\1){{4,}}"))
+    suspects = F.filter(ws, lambda w: (~w.rlike(f"^{_EDGE_ASCII}*+$") & w.rlike(rf"[^{EDGE_SCRIPTS}{EDGE_MARKS}]")) | w.rlike(rf"([{EDGE_SCRIPTS}])(?:[{EDGE_MARKS}]*\1){{4,}}"))
     found = F.filter(F.transform(suspects, lambda w: F.regexp_replace(w, f"[{EDGE_MARKS}]", "")), is_gibberish)
     return F.size(found) / F.greatest(F.size(ws), F.lit(1))
 

@@ -20,11 +20,11 @@ TEXT_TABLES = ("documents", "pages")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A stored table.  Texts that come in fewer pieces than half the cores are dealt out anew,
-    which only happens for small tables: large ones have many files or row groups."""
+    """A stored table.  Texts that come in fewer than two pieces a core are dealt out anew, as a
+    small file's pieces may all but one be empty; large tables have many files or row groups."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if name in TEXT_TABLES and df.rdd.getNumPartitions() < cores / 2 else df
+    return df.repartition(cores) if name in TEXT_TABLES and df.rdd.getNumPartitions() < 2 * cores else df
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
