@@ -80,10 +80,9 @@ def ai_structure_merge(spark, sf_dir):
 
 
 def _leaves_and_marks(spark, sf_dir):
-    """Lines 1 to 3 of each document's pages as leaves, 2 to 6 as marks."""
+    """Every line of each document's pages, as a leaf and as a mark."""
     rows = bridge.text_lines(bridge.table(spark, sf_dir, "documents")).select("doc_id", "page_num", "line_index", "text")
-    leaves = rows.filter(F.col("line_index").between(1, 3)).withColumnRenamed("line_index", "ord")
-    return leaves, rows.filter(F.col("line_index").between(2, 6)).withColumnRenamed("line_index", "mcid")
+    return rows.withColumnRenamed("line_index", "ord"), rows.withColumnRenamed("line_index", "mcid")
 
 
 def mark_scores(spark, sf_dir):
