@@ -1,7 +1,7 @@
 """The edge profile: rows of layout lines, and documents built line by line.
 
 layout lines: doc_id, page_num, line_index, text, x, y (from the bottom), width, font_size,
-bold, gap_before.
+bold, gap_before, and where rows were grouped cell_texts and cell_xs.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -18,14 +18,15 @@ from inkstone.operators import lines as L
 
 # fixed values
 ROW_TOLERANCE = 3.5
+COLUMN_TOLERANCE, COLUMN_SHARE = 16.0, 0.65
 
 
 def grouped_rows(lines: DataFrame, tolerance: float = ROW_TOLERANCE) -> DataFrame:
-    """Lines of one row joined: (doc, page, row_no, text, x, x_right, font_size, bold, cell_texts, cell_xs).
+    """Lines of one row joined: (doc, page, row_no, text, x, x_right, font_size, bold, cell_texts, cell_xs, y).
 
     A line goes to the first row, in order of making, whose first line is within tolerance.
     """
-    schema = "doc_id long, page_num int, row_no int, text string, x double, x_right double, font_size double, bold boolean, cell_texts array<string>, cell_xs array<double>"
+    schema = "doc_id long, page_num int, row_no int, text string, x double, x_right double, font_size double, bold boolean, cell_texts array<string>, cell_xs array<double>, y double"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -39,7 +40,7 @@ def grouped_rows(lines: DataFrame, tolerance: float = ROW_TOLERANCE) -> DataFram
             for n, (_, members) in enumerate(sorted(rows, key=lambda r: -r[0]), 1):
                 members = sorted(members, key=lambda b: b.x)
                 many = len(members) > 1
-                out.append((pdf["doc_id"].iloc[0], page, n, " ".join(b.text for b in members), min(b.x for b in members), max(b.x + b.width for b in members), sum(b.font_size for b in members) / len(members), any(b.bold for b in members), [b.text for b in members] if many else None, [b.x for b in members] if many else None))
+                out.append((pdf["doc_id"].iloc[0], page, n, " ".join(b.text for b in members), min(b.x for b in members), max(b.x + b.width for b in members), sum(b.font_size for b in members) / len(members), any(b.bold for b in members), [b.text for b in members] if many else None, [b.x for b in members] if many else None, members[0].y))
         return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
 
     return lines.groupBy("doc_id").applyInPandas(run, schema)
@@ -50,27 +51,61 @@ def gaps_before(lines: DataFrame) -> DataFrame:
     return lines.withColumn("gap_before", F.greatest(F.coalesce(F.lag("y").over(W.partitionBy("doc_id", "page_num").orderBy("line_index")) - F.col("y"), F.lit(0.0)), F.lit(0.0)))
 
 
-ELEMENTS = "doc_id long, ord int, page_num int, elem_type string, text string, n_items int"
+def row_lines(rows: DataFrame) -> DataFrame:
+    """Grouped rows as layout lines, with their cells."""
+    lines = rows.select("doc_id", "page_num", (F.col("row_no") - 1).alias("line_index"), T.clean(F.col("text")).alias("text"), "x", "y", (F.col("x_right") - F.col("x")).alias("width"), "font_size", "bold", "cell_texts", "cell_xs")
+    return gaps_before(lines)
+
+
+def same_columns(a: Column, b: Column) -> Column:
+    """Whether cells of two rows start at the same places: two or more each, one more or less,
+    and all but 35 % of them (two at least) within 16 points."""
+    n = F.least(F.size(a), F.size(b))
+    near = F.size(F.filter(F.zip_with(a, b, lambda p, q: F.abs(p - q) <= COLUMN_TOLERANCE), lambda hit: F.coalesce(hit, F.lit(False))))
+    return F.coalesce((n >= 2) & (F.abs(F.size(a) - F.size(b)) <= 1) & (near >= F.greatest(F.lit(2), F.ceil(n * COLUMN_SHARE))), F.lit(False))
+
+
+def has_header(rows: list[list[str]]) -> bool:
+    """Whether the first row of a table is its header: words, over rows that hold no fewer numbers."""
+    if len(rows) < 2:
+        return False
+    numeric = lambda cells: sum(any("0" <= x <= "9" for x in c) for c in cells) / max(len(cells), 1)
+    first = numeric(rows[0])
+    return first <= 0.35 and numeric([c for row in rows[1:5] for c in row]) >= first and all(len(c) <= 50 for c in rows[0])
+
+
+ELEMENTS = "doc_id long, ord int, page_num int, elem_type string, text string, n_items int, cells array<struct<row_no:int,col_no:int,type:string,text:string>>"
 
 
 def documents(lines: DataFrame, ratio: float = 0.5, group: str = "doc_id") -> DataFrame:
     """Top-level elements of the edge profile's documents, heading levels clamped.
 
     What a line is by itself comes from column rules; runs of rows, pairs and items, which
-    depend on where the last run ended, are walked a document at a time.
+    depend on where the last run ended, are walked a document at a time.  Tables carry their
+    cells, TH or TD.
     """
     if "bold" not in lines.columns:
         lines = lines.withColumn("bold", F.lit(False))
+    for name, kind in (("cell_texts", "array<string>"), ("cell_xs", "array<double>")):
+        if name not in lines.columns:
+            lines = lines.withColumn(name, F.lit(None).cast(kind))
     t = F.col("text")
     running = L.edge_lines(lines).withColumn("key", T.repeat_key(t)).join(L.repeated_lines(lines, ratio, group).select(group, "key"), [group, "key"], "left_semi").select("doc_id", "page_num", "line_index", F.lit(True).alias("running"))
     scores = L.heading_scores(lines)
-    cells = T.edge_cells(t)
+    given = F.coalesce(F.size("cell_texts"), F.lit(0))
+    cells = F.when(given >= 2, F.filter(F.transform("cell_texts", T.clean), lambda c: c != "")).otherwise(T.edge_cells(t))
+    alone = (F.size(cells) >= 3) | ((F.size(cells) >= 2) & F.forall(cells, lambda c: F.length(c) <= 50)) | T.edge_is_row(t)
+    follows = F.lead("cell_xs").over(W.partitionBy("doc_id", "page_num").orderBy("line_index"))
+    two = given == 2
+    pair = (two & (F.length(F.get("cell_texts", F.lit(0))) <= 42) & (F.length(F.get("cell_texts", F.lit(1))) > 0)) | T.edge_is_key_value(t)
+    key, value = (F.regexp_extract(T.clean(t), T.EDGE_KEY_AND_VALUE, i) for i in (1, 2))
+    halves = F.when(two, F.transform("cell_texts", T.clean)).when(key != "", F.array(F.btrim(key), F.btrim(value))).otherwise(F.array(T.clean(t), F.lit("")))
     rows = lines.join(running, ["doc_id", "page_num", "line_index"], "left").join(scores, ["doc_id", "page_num", "line_index"])
     rows = rows.select(
-        "doc_id", "page_num", "line_index", "text", "x", "font_size", "bold", "gap_before", F.coalesce("running", F.lit(False)).alias("running"), T.edge_is_signature(t).alias("signature"), T.edge_is_row(t).alias("row"), F.size(cells).alias("n_cells"),
-        T.edge_is_key_value(t).alias("pair"), T.edge_is_numbered(t).alias("numbered"), "level", F.length("text").alias("n"), F.percentile("font_size", 0.5).over(W.partitionBy("doc_id", "page_num")).alias("body"),
+        "doc_id", "page_num", "line_index", "text", "x", "font_size", "bold", "gap_before", F.coalesce("running", F.lit(False)).alias("running"), T.edge_is_signature(t).alias("signature"), T.edge_is_row(t).alias("text_row"), alone.alias("alone"), (alone | same_columns(F.col("cell_xs"), follows)).alias("row"), cells.alias("cells"), (given > 1).alias("parted"),
+        pair.alias("pair"), halves.alias("halves"), T.edge_is_numbered(t).alias("numbered"), "level", F.length("text").alias("n"), F.percentile("font_size", 0.5).over(W.partitionBy("doc_id", "page_num")).alias("body"),
     )
-    short = (F.col("n").between(2, 55)) & ~F.col("numbered") & ~F.col("pair") & ~F.col("row") & (F.col("font_size") < F.col("body") + 1.5) & ~(F.col("bold") & (F.col("gap_before") >= F.col("body") * 1.25))
+    short = (F.col("n").between(2, 55)) & ~F.col("numbered") & ~F.col("pair") & ~F.col("alone") & ~F.col("parted") & (F.col("font_size") < F.col("body") + 1.5) & ~(F.col("bold") & (F.col("gap_before") >= F.col("body") * 1.25))
     rows = rows.withColumn("short", short)
     built = rows.groupBy("doc_id").applyInPandas(_build, ELEMENTS)
     return _promoted(_clamped(built))
@@ -86,9 +121,10 @@ def _stretch(b: list, i: int, test) -> int:
 
 def _build(pdf: pd.DataFrame) -> pd.DataFrame:
     out = []
+    cell = lambda r, c, head, text: {"row_no": r, "col_no": c, "type": "TH" if head else "TD", "text": text}
     for page, part in pdf.sort_values(["page_num", "line_index"]).groupby("page_num", sort=True):
         b, i = list(part.itertuples(index=False)), 0
-        add = lambda kind, text="", items=0, page=page: out.append((pdf["doc_id"].iloc[0], len(out), page, kind, text, items))
+        add = lambda kind, text="", items=0, cells=None, page=page: out.append((pdf["doc_id"].iloc[0], len(out), page, kind, text, items, cells))
         while i < len(b):
             line = b[i]
             if line.running:
@@ -97,17 +133,18 @@ def _build(pdf: pd.DataFrame) -> pd.DataFrame:
                 continue
             if line.signature:
                 add("Figure", line.text)
-                i += 2 if i + 1 < len(b) and b[i + 1].n <= 80 and not b[i + 1].row else 1
+                i += 2 if i + 1 < len(b) and b[i + 1].n <= 80 and not b[i + 1].text_row else 1
                 continue
             end = _stretch(b, i, lambda j: b[j].row)
-            widths = [x.n_cells for x in b[i:end] if x.n_cells >= 2]
-            if len(widths) >= 2 and sum(abs(w - widths[0]) <= 1 for w in widths) >= math.ceil(0.6 * len(widths)):
-                add("Table", items=len(widths))
+            table = [list(x.cells) for x in b[i:end] if len(x.cells) >= 2]
+            if len(table) >= 2 and sum(abs(len(r) - len(table[0])) <= 1 for r in table) >= math.ceil(0.6 * len(table)):
+                head = has_header(table)
+                add("Table", items=len(table), cells=[cell(r, c, head and r == 0, x) for r, row in enumerate(table) for c, x in enumerate(row)])
                 i = end
                 continue
             end = _stretch(b, i, lambda j: b[j].pair)
             if end - i >= 3:
-                add("Table", items=end - i)
+                add("Table", items=end - i, cells=[cell(r, c, c == 0, x) for r, line in enumerate(b[i:end]) for c, x in enumerate(line.halves)])
                 i = end
                 continue
             end = _items(b, i)

@@ -138,6 +138,21 @@ def repaired(text: Column) -> Column:
     return F.coalesce(again, text)
 
 
+#: A tag and the number of the marked content it opens.
+MARK = r"/(\w+)\s+<<[^>]*?/MCID\s+(\d+)"
+
+
+def markers(stream: Column) -> Column:
+    """Marked-content operators of a page's content stream, in order: array of (tag, mcid)."""
+    of = lambda group: F.regexp_extract_all(F.coalesce(stream, F.lit("")), F.lit(MARK), F.lit(group))
+    return F.zip_with(of(1), of(2), lambda tag, mcid: F.struct(tag.alias("tag"), mcid.cast("long").alias("mcid")))
+
+
+def unmarked(stream: Column) -> Column:
+    """Whether a page has content and none of it is marked."""
+    return F.coalesce((stream != "") & ~stream.rlike(MARK), F.lit(False))
+
+
 def message_bodies(parts: DataFrame) -> DataFrame:
     """The body of each message: its first HTML part, else its first plain part.
 
