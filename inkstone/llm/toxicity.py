@@ -34,7 +34,7 @@ from inkstone.llm import common
 
 BITS, NGRAMS, WIDTH = 17, (3, 4, 5), 6
 SEGMENT = 3
-SAMPLE = 1200
+SAMPLE = 1500
 ROUNDS = 40
 #: Steps for the vectors, the softmax weights and the biases.
 STEP, DAMPING = (0.2, 0.1, 0.1), 0.05
