@@ -42,6 +42,23 @@ from inkstone.plans.staging import drop, stage
 SPAN = 20
 K = 8
 LAST = 2**63 - 1  # stands for a null id
+PLACE_BITS = 24  # low bits of a hash that do not count when the least is sought
+
+
+def leftmost_least(grams: np.ndarray, width: int) -> np.ndarray:
+    """Place of the least hash in each run of width hashes, the leftmost of equal ones."""
+    low = np.uint64((1 << PLACE_BITS) - 1)
+    packed = len(grams) <= 1 << PLACE_BITS  # then a place fits into the low bits
+    least, place, have = grams & ~low, np.arange(len(grams), dtype=np.uint64), 1
+    if packed:
+        least |= place
+    while have < width:
+        step = min(have, width - have)
+        if not packed:
+            place = np.where(least[step:] < least[:-step], place[step:], place[:-step])
+        least = np.minimum(least[:-step], least[step:])
+        have += step
+    return ((least & low) if packed else place).astype(np.int64)
 
 
 class Edges:
@@ -60,15 +77,8 @@ class Edges:
             self.starts = self.anchors = self.hash_of_anchor = np.zeros(0, np.int64)
             self.doc = self.starts
             return
-        low = np.uint64((1 << 24) - 1)  # a place in the low bits: the leftmost of equal hashes is the least
-        least = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
-        width, have = span - k + 1, 1
-        while have < width:
-            step = min(have, width - have)
-            least = np.minimum(least[:-step], least[step:])
-            have += step
         self.starts = np.flatnonzero(doc[: len(self.hashes)] == doc[span - 1 :])
-        self.anchors = (least[self.starts] & low).astype(np.int64)
+        self.anchors = leftmost_least(grams, span - k + 1)[self.starts]
         self.hashes, self.doc = self.hashes[self.starts], doc[self.starts]
         self.hash_of_anchor = grams[self.anchors]
 
