@@ -73,9 +73,8 @@ def suggestions(spark, sf_dir):
 
 
 def ai_structure_merge(spark, sf_dir):
-    """Pages of paragraphs only (even numbers) give way to suggestions where there are any."""
-    own = elements(spark, sf_dir).filter((F.pmod("doc_id", F.lit(2)) == 1) | (F.col("elem_type") == "P"))
-    own = own.select(F.lit(0).alias("doc_id"), F.col("doc_id").alias("page_num"), F.col("ord").cast("long").alias("ord"), "elem_type", "text")
+    """Pages of paragraphs only give way to suggestions where there are any."""
+    own = elements(spark, sf_dir).select(F.lit(0).alias("doc_id"), F.col("doc_id").alias("page_num"), F.col("ord").cast("long").alias("ord"), "elem_type", "text")
     return S.merge_suggestions(own, suggestions(spark, sf_dir))
 
 

@@ -30,3 +30,15 @@ def test_every_line_is_a_leaf_and_a_mark(spark, tmp_path):
     taken = catalog.QUERIES["mark_assignment"](spark, at).collect()
     assert sorted((r.doc_id, r.page_num, r.ord) for r in taken) == sorted(x[:3] for x in lines)
     assert len({(r.doc_id, r.page_num, r.mcid) for r in taken}) == len(lines)
+
+
+def test_merge_keeps_all_elements(spark, tmp_path):
+    page = "<html><body><h1>Head</h1><p>one</p><ul><li>item</li></ul></body></html>"
+    plain = "<html><body><p>one</p><p>two</p></body></html>"
+    talk = {"conv_id": [2, 4], "turn": [0, 0], "role": ["user", "user"], "text": ["asked", "asked"]}
+    at = tables(tmp_path, pages={"page_id": [2, 4], "url": ["u", "u"], "html": [page, plain]}, conversations=talk)
+    rows = catalog.QUERIES["ai_structure_merge"](spark, at).collect()
+    own = catalog.QUERIES["html_elements"](spark, at).filter("doc_id = 2").count()
+    assert [r.origin for r in rows if r.page_num == 2] == ["rules"] * own
+    assert {r.elem_type for r in rows if r.page_num == 2} >= {"H1", "L"}
+    assert [(r.origin, r.text) for r in rows if r.page_num == 4] == [("suggested", "asked")]
