@@ -36,7 +36,7 @@ def repeated_lines_removed_ratio10(spark, sf_dir):
 
 def _pages(docs):
     """Every line of a document as a page, with a made-up confidence."""
-    rows = docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("page_num", "text"))
+    rows = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("page_num", "text"))
     return rows.withColumn("confidence", F.pmod(F.col("doc_id") * 7, F.lit(101)).cast("double"))
 
 

@@ -42,3 +42,10 @@ def test_merge_keeps_all_elements(spark, tmp_path):
     assert [r.origin for r in rows if r.page_num == 2] == ["rules"] * own
     assert {r.elem_type for r in rows if r.page_num == 2} >= {"H1", "L"}
     assert [(r.origin, r.text) for r in rows if r.page_num == 4] == [("suggested", "asked")]
+
+
+def test_null_texts_are_pages(spark, tmp_path):
+    at = tables(tmp_path, documents={"doc_id": [1, 2], "text": [None, ""]})
+    for name in ("ocr_findings", "digital_or_scanned"):
+        rows = catalog.QUERIES[name](spark, at).collect()
+        assert {r.doc_id for r in rows} == {1, 2}, name
