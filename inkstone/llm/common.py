@@ -17,15 +17,24 @@ BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words that a worker's cache may hold (about 35 MB); the first seen stay, as they are the frequent ones.
 CACHE_WORDS = 200_000
+#: Bytes of an Arrow batch (a single longer row makes a batch of its own).
+BATCH_MB = 4
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Bound the rows of an Arrow batch, so that long texts can't make batches of gigabytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession, megabytes: int = BATCH_MB) -> None:
+    """Bound the bytes of an Arrow batch, so that long texts can't make batches of gigabytes.
+
+    Plans run after the operator that asks for this returns, so the setting stays; it is only
+    ever lowered and changes no result.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = int("".join(c for c in spark.conf.get(key) if c.isdigit() or c == "-") or 0) if spark.conf.get(key).endswith("b") else None
+    if now is None or not 0 < now <= megabytes << 20:
+        spark.conf.set(key, f"{megabytes << 20}b")
 
 
 def ascii_lower(column: Column) -> Column:

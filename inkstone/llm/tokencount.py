@@ -11,7 +11,8 @@ A word that can't be cut is one unknown token.  Words are parted by ASCII white
 of the words seen first are kept by each worker up to a bound.
 
 Defined results: null and empty texts have no words and no tokens; rows without an id and
-repeated rows are counted each; extra columns are ignored.
+repeated rows are counted each; bytes that are no UTF-8 are read as replacement letters; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -88,7 +89,7 @@ class WordCounts(dict):
         self.automaton = automaton
 
     def __missing__(self, word: bytes) -> int:
-        n = self.automaton.count(word.decode())
+        n = self.automaton.count(word.decode("utf-8", "replace"))
         if len(self) < common.CACHE_WORDS:
             self[word] = n
         return n
