@@ -26,7 +26,8 @@ def documents(seed=2):
 def test_lines(spark):
     rows = documents()
     key = lambda line: "".join(c.lower() if "A" <= c <= "Z" else c for c in line.strip(" \t\n\x0b\x0c\r"))
-    counts = Counter(k for r in rows for k in {key(x) for x in (r[1] or "").split("\n")} if k)
+    held = {(r[0] if r[0] is not None else r[1] or "", k) for r in rows for k in map(key, (r[1] or "").split("\n")) if k}
+    counts = Counter(k for _, k in held)
     want = []
     for r in rows:
         parts = (r[1] or "").split("\n")
@@ -37,6 +38,22 @@ def test_lines(spark):
     assert lines.drop_common_lines(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_repeated_rows_are_one_document(spark):
+    rows = [(1, "a\nb", "s", "")] * 10 + [(i, "c\nown", "s", "") for i in range(2, 11)] + [(2, "c\nother", "s", ""), (None, "d", "s", ""), (None, "d", "s", "")]
+    out = lines.drop_common_lines(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert all(r["__ld_dropped"] == 0 for r in out)  # c stands in nine documents
+    out = lines.drop_common_lines(spark.createDataFrame([*rows, (None, "c", "s", "")], SCHEMA)).collect()
+    assert Counter(r["__ld_dropped"] for r in out) == {0: 12, 1: 11}
+    assert {r.text for r in out if r["__ld_dropped"]} == {"own", "other", ""}
+
+
+def test_texts_of_very_many_lines(spark):
+    shared = "\n".join(f"line {i}" for i in range(100_000))
+    df = spark.createDataFrame([(i, shared + f"\nown {i}", "s", "") for i in range(10)], SCHEMA)
+    out = sorted((r.doc_id, r.text, r["__ld_lines"], r["__ld_dropped"]) for r in lines.drop_common_lines(df).collect())
+    assert out == [(i, f"own {i}", 100_001, 100_000) for i in range(10)]
+
+
 def water(sizes, weights, most=3):
     """Shares by rounds: what is over the cap is shared again among the others."""
     total, target = sum(sizes.values()), dict.fromkeys(sizes, 0.0)
