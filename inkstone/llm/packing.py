@@ -1,14 +1,16 @@
 """Best-fit packing of token sequences (hierarchical residual packing).
 
 Each task tokenises its documents and packs their pieces by best-fit decreasing.  Bins that
-are nearly full are final.  The underfull ones become items themselves: they are dealt to an
-eighth of the tasks, packed by best fit, and so on up a tree until one task has packed what
-is left.  Only (bin, fill) pairs move up the tree; pieces stay where they were written and
-learn their final sequence through a join on the bin.
+are nearly full are final.  The underfull ones become items themselves: they are dealt anew to
+an eighth of the tasks, packed by best fit, and so on up a tree, each round with another deal.
+The root packs all that is left, whatever its number: bins of one fill are alike, so best fit
+runs over the counts of the fills (LIMIT classes at most), and the ranks of the bins in their
+class, taken in parallel, tell where each goes.  Only (bin, fill) pairs move up the tree;
+pieces stay where they were written and learn their final sequence through a join on the bin.
 
 Defined results: a null or empty text is a document of the end id alone; equal rows are
-packed once each; a null id is carried through; an empty table gives no rows; columns of
-the input other than id and text are ignored, whatever their names.
+packed once each; a null id is carried through; an empty table gives no rows; bytes that are no
+UTF-8 are read as replacement letters; columns of the input other than id and text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,10 +25,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from inkstone.llm import common
-from inkstone.plans.staging import stage
+from inkstone.plans.staging import drop, stage
 
 LIMIT = 2048
 END_ID = 0
@@ -111,10 +114,10 @@ class TokenIds:
 
     def _encode(self, words: list[bytes]) -> None:
         known, encode = self.known, self.tokenizer.encode_batch_fast
-        plain = [w for w in words if w.decode().isalpha()]
+        plain = [w for w in words if w.decode("utf-8", "replace").isalpha()]
         for at in range(0, len(plain), 2000):
             part = plain[at : at + 2000]
-            ids = np.array(encode([b" ".join(part).decode()], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(encode([b" ".join(part).decode("utf-8", "replace")], add_special_tokens=False)[0].ids, "<u4")
             cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
             if len(cuts) == len(part):  # else a letter was normalised to something else
                 raw, start = ids.tobytes(), 0
@@ -122,7 +125,7 @@ class TokenIds:
                     known[word] = raw[4 * start : 4 * cut]
                     start = cut
         other = [w for w in words if w not in known]
-        for word, e in zip(other, encode([w.decode() for w in other], add_special_tokens=False), strict=True):
+        for word, e in zip(other, encode([w.decode("utf-8", "replace") for w in other], add_special_tokens=False), strict=True):
             known[word] = np.array(e.ids, "<u4").tobytes()
 
     def forget(self) -> None:
@@ -184,34 +187,100 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     return still.unionByName(pieces.filter(~full).join(moved, "bin").select(*columns, F.col("root").alias("sequence_id"), (F.col("at") + F.col("base")).alias("offset")))
 
 
+def best_fit_counts(counts: dict[int, int], limit: int) -> list[tuple[int, int, int, int, int]]:
+    """Best-fit decreasing over classes of equal items, given as size to count.
+
+    Returns (size, first rank, first bin, items a bin, place of the first): items from that
+    rank on go so many to a bin, into following bins, up to the next entry's rank.
+    """
+    out: list[tuple[int, int, int, int, int]] = []
+    stacks: list[list[tuple[int, int]]] = [[] for _ in range(limit + 1)]  # by free space, ranges of bins
+    mask = bins = 0
+
+    def put(free: int, lo: int, hi: int) -> None:
+        nonlocal mask
+        if free and lo < hi:
+            stacks[free].append((lo, hi))
+            mask |= 1 << free
+
+    for size in sorted(counts, reverse=True):
+        rank, left = 0, counts[size]
+        while left:
+            fitting = mask >> size
+            if not fitting:
+                more = -(-left // (limit // size))
+                put(limit, bins, bins + more)
+                bins += more
+                continue
+            free = (fitting & -fitting).bit_length() - 1 + size
+            lo, hi = stacks[free].pop()
+            if not stacks[free]:
+                mask ^= 1 << free
+            each = min(free // size, left)
+            full = min(hi - lo, left // each)
+            out.append((size, rank, lo, each, limit - free))
+            put(free - each * size, lo, lo + full)
+            put(free, lo + full, hi)
+            rank, left = rank + full * each, left - full * each
+    return out
+
+
+def rooted(bins: DataFrame, limit: int, items_per_task: int) -> DataFrame:
+    """The root: (bin, parent, base) of all bins by best fit over the counts of their fills."""
+    buckets = max(1, math.ceil(bins.count() / items_per_task))
+    dealt = bins.withColumn("bucket", F.pmod(F.xxhash64("bin"), F.lit(buckets)))
+    sums = stage(dealt.groupBy("fill", "bucket").agg(F.count(F.lit(1)).alias("n")), "fills")
+    counts = {r.fill: r.n for r in sums.groupBy("fill").agg(F.sum("n").alias("n")).collect()}  # limit rows at most
+    plan = np.array(sorted(best_fit_counts(counts, limit)), np.int64).reshape(-1, 5)
+    before = F.sum("n").over(W.partitionBy("fill").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))
+    ahead = sums.select("fill", "bucket", F.coalesce(before, F.lit(0)).alias("ahead"))
+    nth = F.row_number().over(W.partitionBy("fill", "bucket").orderBy("bin")) - 1
+    ranked = dealt.withColumn("nth", nth).join(ahead, ["fill", "bucket"]).select("bin", "fill", (F.col("ahead") + F.col("nth")).alias("rank"))
+    schema = pa.schema([("bin", pa.int64()), ("parent", pa.int64()), ("base", pa.int64())])
+    high = np.int64(max(counts.values(), default=0) + 1)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts = plan[:, 0] * high + plan[:, 1]
+        for batch in batches:
+            name, fill, rank = (batch.column(i).to_numpy() for i in range(3))
+            _, first, head, each, base = plan[np.searchsorted(starts, fill * high + rank, side="right") - 1].T
+            inner = rank - first
+            # bins of the root are numbered downwards from -1, apart from those of the tasks
+            yield pa.RecordBatch.from_arrays([pa.array(name), pa.array(-1 - head - inner // each), pa.array(base + inner % each * fill)], schema=schema)
+
+    return ranked.mapInArrow(place, "bin long, parent long, base long")
+
+
 def merged(bins: DataFrame, limit: int, items_per_task: int) -> DataFrame:
     """The tree: from (bin, fill) to (bin, root, base), the sequence and place of each bin."""
     bins = stage(bins, "underfull")
     moved = bins.select("bin", F.col("bin").alias("root"), F.lit(0).cast("long").alias("base"))
-    left, tasks = bins.count(), None
-    while left:
-        tasks = max(1, math.ceil(left / items_per_task)) if tasks is None else max(math.ceil(tasks / FAN_IN), math.ceil(left / items_per_task))
-
-        def again(part: pa.Table) -> pa.Table:
-            part = part.sort_by("bin")  # the same result on every attempt
-            names, fills = part["bin"].to_numpy(), part["fill"].to_numpy()
-            where, at, made = best_fit(fills, limit)
-            heads = np.zeros(len(made), np.int64)
-            heads[where[at == 0]] = names[at == 0]
-            return pa.table({"bin": names, "parent": heads[where], "base": at, "fill": made[where]})
-
-        dealt = bins.withColumn("task", F.pmod(F.xxhash64("bin"), F.lit(tasks)))
+
+    def lifted(step: DataFrame) -> DataFrame:
+        by_root = moved.join(step.select(F.col("bin").alias("root"), "parent", F.col("base").alias("more")), "root", "left")
+        return stage(by_root.select("bin", F.coalesce("parent", "root").alias("root"), (F.col("base") + F.coalesce("more", F.lit(0))).alias("base")), "moved")
+
+    def again(part: pa.Table) -> pa.Table:
+        part = part.sort_by("bin")  # the same result on every attempt
+        names, fills = part["bin"].to_numpy(), part["fill"].to_numpy()
+        where, at, made = best_fit(fills, limit)
+        heads = np.zeros(len(made), np.int64)
+        heads[where[at == 0]] = names[at == 0]
+        return pa.table({"bin": names, "parent": heads[where], "base": at, "fill": made[where]})
+
+    tasks, level = math.ceil(bins.count() / items_per_task), 0
+    while tasks > 1:
+        dealt = bins.withColumn("task", F.pmod(F.xxhash64(F.lit(level), "bin"), F.lit(tasks)))
         step = stage(dealt.groupBy("task").applyInArrow(lambda t: again(t), ROUND), "round")
-        moved = moved.join(step.select(F.col("bin").alias("root"), "parent", F.col("base").alias("more")), "root", "left")
-        moved = stage(moved.select("bin", F.coalesce("parent", "root").alias("root"), (F.col("base") + F.coalesce("more", F.lit(0))).alias("base")), "moved")
-        if tasks == 1:
-            break
+        moved = lifted(step)
         open_bins = step.filter(F.col("fill") < limit - int(limit * SLACK)).groupBy(F.col("parent").alias("bin")).agg(F.max("fill").alias("fill"))
-        bins, before = stage(open_bins, "underfull"), left
-        left = bins.count()
-        if left > 0.98 * before:  # what is left no longer combines
+        drop(bins)
+        bins, before = stage(open_bins, "underfull"), tasks
+        drop(step)
+        tasks, level = max(math.ceil(before / FAN_IN), math.ceil(bins.count() / items_per_task)), level + 1
+        if tasks >= before:  # too many that fit with none: the root takes any number
             break
-    return moved
+    return lifted(rooted(bins, limit, items_per_task))
 
 
 def tokenizer_path() -> str:

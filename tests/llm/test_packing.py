@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -59,6 +59,11 @@ def test_tree_of_several_rounds(spark):
     check(rows, out, 256)
 
 
+def test_invalid_bytes(spark):
+    df = spark.createDataFrame([(1, 0)], "doc_id long, x int").selectExpr("doc_id", "cast(unhex('61ff62') as string) as text")
+    assert [(r.doc_id, r.ids_crc32) for r in packing.pack(df, packing.tokenizer_path()).collect()] == [(1, reference([(1, "a\ufffdb")], 2048)[0][4])]
+
+
 def test_empty(spark):
     assert packing.pack(spark.createDataFrame([], SCHEMA), packing.tokenizer_path()).collect() == []
 
@@ -80,6 +85,42 @@ def test_best_fit(lengths):
         assert sum(sorted(fills)[:2]) > 50  # no two bins fit in one
 
 
+@given(st.lists(st.integers(1, 50), max_size=80))
+@settings(max_examples=80, deadline=None)
+def test_best_fit_of_counts(lengths):
+    counts = Counter(lengths)
+    plan = packing.best_fit_counts(counts, 50)
+    bins = defaultdict(list)
+    for size in counts:
+        mine = sorted(p for p in plan if p[0] == size)
+        for rank in range(counts[size]):
+            _, first, head, each, base = [p for p in mine if p[1] <= rank][-1]
+            bins[head + (rank - first) // each].append((base + (rank - first) % each * size, size))
+    for spans in bins.values():
+        at = 0
+        for place, n in sorted(spans):
+            assert place == at
+            at += n
+        assert at <= 50
+    assert len(bins) == len(packing.best_fit(np.array(lengths, np.int64), 50)[2])
+
+
+def test_the_root_takes_what_combines_with_nothing(spark):
+    fills = [(i, 1500 + i % 7) for i in range(500)] + [(1000 + i, 30 + i % 11) for i in range(200)]
+    moved = packing.merged(spark.createDataFrame(fills, "bin long, fill long").repartition(4), 2048, 25).collect()
+    assert len(moved) == len(fills)
+    of, size = defaultdict(list), dict(fills)
+    for r in moved:
+        of[r.root].append((r.base, size[r.bin]))
+    for spans in of.values():
+        at = 0
+        for base, n in sorted(spans):
+            assert base == at
+            at += n
+        assert at <= 2048
+    assert len(of) == 500  # each small bin lies in a large one
+
+
 @pytest.mark.parametrize("n", [0, 1])
 def test_small(n):
     where, at, fills = packing.best_fit(np.array([7] * n, np.int64), 10)
