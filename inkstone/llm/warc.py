@@ -8,8 +8,10 @@ alone, pre-aggregated, so a payload that a third of all pages share stays cheap.
 Index: captures are range-sorted by a key that starts with the reversed host (org,example,)
 and packed into compressed blocks of BLOCK_ENTRIES captures; of each block only its first
 key, file, offset and length are kept, in a sparse directory.  A lookup finds the index file
-by binary search over the files' first keys, the block by binary search over the directory of
-that file, reads and unpacks that one block, and then reads the captures' byte ranges.
+by binary search over the files' first keys, the blocks by binary search over the directory of
+that file, reads and unpacks these, finds the captures by binary search in each, and reads
+their byte ranges.  Blocks are dealt to as many tasks as the bytes behind them ask for, so a
+key with very many captures, which fills many blocks, is read by many tasks.
 
 A file's name holds a random part, and only files that a committed task lists are used, so
 lost and repeated task attempts leave nothing but unused files.
@@ -27,7 +29,7 @@ import uuid
 import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from urllib.parse import quote, urlsplit
+from urllib.parse import quote, unquote, urlsplit
 
 import pyarrow as pa
 from pyarrow import fs
@@ -41,6 +43,7 @@ BLOCK_ENTRIES = 1000
 MAX_ARCHIVE = 1 << 30
 MIN_REVISIT = 0  # payloads of fewer bytes are always responses
 LEVEL = 4
+READ_BYTES = 64 << 20  # compressed bytes of records that a task reads
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -145,13 +148,13 @@ class Reader:
 
 CAPTURES = pa.schema([("key", pa.string()), ("page_id", pa.int64()), ("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
 CAPTURES_DDL = "key string, page_id long, file string, offset long, length long"
-DIRECTORY = pa.schema([("first_key", pa.string()), ("index_file", pa.string()), ("block", pa.int64()), ("offset", pa.int64()), ("length", pa.int64()), ("entries", pa.int64())])
-DIRECTORY_DDL = "first_key string, index_file string, block long, offset long, length long, entries long"
+DIRECTORY = pa.schema([("first_key", pa.string()), ("index_file", pa.string()), ("block", pa.int64()), ("offset", pa.int64()), ("length", pa.int64()), ("entries", pa.int64()), ("bytes", pa.int64())])
+DIRECTORY_DDL = "first_key string, index_file string, block long, offset long, length long, entries long, bytes long"
 
 
 def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_revisit: int = MIN_REVISIT) -> DataFrame:
     """Write all pages; returns the captures (key, page_id, file, offset, length)."""
-    common.small_batches(pages.sparkSession, 1000)
+    common.small_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.encode(F.col(html_col).cast("string"), "UTF-8"), F.lit(b"")).alias("payload"))
     rows = rows.withColumn("digest", F.sha1("payload"))
     thin = stage(rows.select("page_id", "digest", F.length("payload").alias("n")).filter(F.col("n") >= min_revisit).select("page_id", "digest"), "digests")
@@ -177,14 +180,14 @@ def build_index(captures: DataFrame, folder: str, block_entries: int = BLOCK_ENT
         out, lines, rows = Writer(folder, "cdx", 0), [], []
 
         def end() -> None:
-            body = zlib.compress("".join(line for _, line in lines).encode("utf-8", "surrogatepass"), LEVEL)
+            body = zlib.compress("".join(line for _, line, _ in lines).encode("utf-8", "surrogatepass"), LEVEL)
             name, offset, length = out.add(body)
-            rows.append((lines[0][0], name, len(rows), offset, length, len(lines)))
+            rows.append((lines[0][0], name, len(rows), offset, length, len(lines), sum(n for _, _, n in lines)))
             lines.clear()
 
         for batch in batches:
             for key, page, file, offset, length in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                lines.append((key, f"{quote(key, safe=SAFE)}\t{'' if page is None else page}\t{file}\t{offset}\t{length}\n"))
+                lines.append((key, f"{quote(key, safe=SAFE)}\t{'' if page is None else page}\t{file}\t{offset}\t{length}\n", length))
                 if len(lines) == block_entries:
                     end()
         if lines:
@@ -201,11 +204,11 @@ SAFE = "".join(chr(c) for c in range(32, 127) if chr(c) != "%")
 
 
 def block_entries_of(raw: bytes) -> list[tuple[str, str, int, int]]:
-    """(quoted key, file, offset, length) of a block."""
+    """(key, file, offset, length) of a block, in order of keys."""
     out = []
     for line in zlib.decompress(raw).decode().splitlines():
         key, _, file, offset, length = line.split("\t")
-        out.append((key, file, int(offset), int(length)))
+        out.append((unquote(key), file, int(offset), int(length)))
     return out
 
 
@@ -221,6 +224,27 @@ def as_batches(records: list[dict], payloads: bool) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pylist(part, schema=RECORDS)
 
 
+def dealt(blocks: DataFrame) -> DataFrame:
+    """Rows of blocks (index_file, block, offset, length, bytes), those of one block together, in
+    as many partitions as the records' bytes ask for; Spark would count the small rows."""
+    spark = blocks.sparkSession
+    size = blocks.select("index_file", "block", "bytes").distinct().agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
+    tasks = max(1, min(size.n, max(spark.sparkContext.defaultParallelism, -(-size.bytes // READ_BYTES))))
+    return blocks.repartition(tasks, "index_file", "block").sortWithinPartitions("index_file", "block")
+
+
+def records_of(entries: Iterator[tuple[str, int, int]], reader: Reader, payloads: bool) -> Iterator[pa.RecordBatch]:
+    """The records of byte ranges of archives, in the order in which they lie there."""
+    records, size = [], 0
+    for file, at, n in sorted(entries):
+        records.append(parse(zlib.decompress(reader.read(file, at, n), wbits=31)))
+        size += records[-1]["payload_bytes"]
+        if len(records) == 500 or size > common.BATCH_MB << 20:
+            yield from as_batches(records, payloads)
+            records, size = [], 0
+    yield from as_batches(records, payloads)
+
+
 def read_all(directory: DataFrame, folder: str, payloads: bool = False) -> DataFrame:
     """Every record, read by range from its archive through the index's blocks."""
 
@@ -228,30 +252,27 @@ def read_all(directory: DataFrame, folder: str, payloads: bool = False) -> DataF
         reader = Reader(folder)
         for batch in batches:
             for name, offset, length in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                entries = sorted(block_entries_of(reader.read(name, offset, length)), key=lambda e: e[1:3])
-                records = []
-                for _, file, at, n in entries:
-                    records.append(parse(zlib.decompress(reader.read(file, at, n), wbits=31)))
-                    if len(records) == 200:
-                        yield from as_batches(records, payloads)
-                        records = []
-                yield from as_batches(records, payloads)
+                yield from records_of((e[1:] for e in block_entries_of(reader.read(name, offset, length))), reader, payloads)
 
-    blocks = directory.select("index_file", "offset", "length", "block")
-    return blocks.repartition("index_file", "block").select("index_file", "offset", "length").mapInArrow(read, RECORDS_DDL)
+    blocks = stage(directory.select("index_file", "offset", "length", "block", "bytes"), "blocks")
+    return dealt(blocks).select("index_file", "offset", "length").mapInArrow(read, RECORDS_DDL)
 
 
-def lookup(urls: DataFrame, directory: DataFrame, folder: str, url_col: str = "url", chunk: int = 10_000) -> DataFrame:
-    """Records of the given URLs: binary search for index file, block and key, then range reads.
+def lookup(urls: DataFrame, directory: DataFrame, folder: str, url_col: str = "url", chunk: int = 10_000, payloads: bool = False) -> DataFrame:
+    """Records of the given URLs: binary search for index file, blocks and key, then range reads.
 
     The first keys of the index files (one per task that sorted, so few) go to all tasks; a
-    file's directory and a chunk of the URLs that fall into it meet in one task.
+    file's directory and a chunk of the URLs that fall into it meet in one task, which names
+    the blocks that may hold them; the blocks are then read where they are dealt to.  URLs of
+    one key are one, and every capture of a key is returned once.
     """
     spark = directory.sparkSession
     heads = sorted((r.first, r.index_file) for r in directory.groupBy("index_file").agg(F.min("first_key").alias("first")).collect())
     firsts = [h[0] for h in heads]
     names = [h[1] for h in heads]
     wanted_schema = pa.schema([("key", pa.string()), ("index_file", pa.string())])
+    if not heads:
+        return spark.createDataFrame([], RECORDS_DDL)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -266,33 +287,44 @@ def lookup(urls: DataFrame, directory: DataFrame, folder: str, url_col: str = "u
     wanted = urls.select(F.col(url_col).cast("string")).mapInArrow(route, "key string, index_file string").distinct()
     wanted = stage(wanted, "wanted")
     sizes = stage(wanted.groupBy("index_file").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("chunks")), "wanted_sizes")
-    wanted = wanted.join(sizes, "index_file").withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
-    blocks = directory.join(sizes, "index_file").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    keys = wanted.join(sizes, "index_file").withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int")).select("key", "index_file", "chunk")
+    blocks = directory.join(sizes, "index_file").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).drop("chunks")
 
     def search(keys: pa.Table, part: pa.Table) -> pa.Table:
         part = part.sort_by([("first_key", "ascending"), ("block", "ascending")])
-        starts, reader, unpacked, records = part["first_key"].to_pylist(), Reader(folder), {}, []
-        for key in sorted(keys["key"].to_pylist()) if starts else []:
-            quoted = quote(key, safe=SAFE)
+        starts, found, rows = part["first_key"].to_pylist(), [], []
+        for key in keys["key"].to_pylist() if starts else []:
             for b in range(max(0, bisect_left(starts, key) - 1), bisect_right(starts, key)):
-                if b not in unpacked:
-                    unpacked = {b: block_entries_of(reader.read(*(part[c][b].as_py() for c in ("index_file", "offset", "length"))))}
-                entries = unpacked[b]
-                lo = bisect_left(entries, (quoted,))
-                while lo < len(entries) and entries[lo][0] == quoted:
-                    records.append(parse(zlib.decompress(reader.read(*entries[lo][1:]), wbits=31)))
-                    lo += 1
-        return pa.Table.from_pylist(records, schema=RECORDS)
+                found.append(key)
+                rows.append(b)
+        part = part.take(pa.array(rows, pa.int64()))
+        return pa.table({"key": pa.array(found, pa.string()), **{c: part[c] for c in ("index_file", "block", "offset", "length", "bytes")}})
 
-    wanted, blocks = stage(wanted.select("key", "index_file", "chunk"), "wanted_dealt"), stage(blocks.drop("chunks"), "blocks_dealt")
     on = ("index_file", "chunk")
-    return wanted.groupBy(*on).cogroup(blocks.groupBy(*on)).applyInArrow(lambda a, b: search(a, b), RECORDS_DDL) if heads else spark.createDataFrame([], RECORDS_DDL)
+    places = keys.groupBy(*on).cogroup(blocks.groupBy(*on)).applyInArrow(lambda a, b: search(a, b), "key string, index_file string, block long, offset long, length long, bytes long")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, block, entries, hits = Reader(folder), None, [], []
+        for batch in batches:
+            for key, *place in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if place != block:  # keys of one block follow each other
+                    yield from records_of(hits, reader, payloads)
+                    block, entries, hits = place, block_entries_of(reader.read(*place)), []
+                lo = bisect_left(entries, (key,))
+                while lo < len(entries) and entries[lo][0] == key:
+                    hits.append(entries[lo][1:])
+                    lo += 1
+        yield from records_of(hits, reader, payloads)
+
+    return dealt(stage(places, "places")).select("key", "index_file", "offset", "length").mapInArrow(read, RECORDS_DDL)
 
 
 def op6_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "warc")
-    directory = build_index(write_archives(common.table(spark, sf_dir, "pages"), folder), folder)
-    return read_all(directory, folder).drop("payload", "url")
+    pages = common.table(spark, sf_dir, "pages")
+    directory = build_index(write_archives(pages, folder), folder)
+    # each page is looked up by its address, so every record comes through directory and blocks
+    return lookup(pages.select("url"), directory, folder).drop("payload", "url")
 
 
 QUERIES = {"op6_warc_index": op6_warc_index}
