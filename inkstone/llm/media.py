@@ -25,7 +25,7 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstone.llm import common
@@ -107,6 +107,8 @@ class Sequence(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in SKIPPED:
             self.skip += 1
+        elif self.skip:
+            pass
         elif tag in MEDIA:
             self.flush()
             named = dict(attrs)
@@ -179,14 +181,24 @@ STORED_DDL = "digest string, n_bytes long, media binary"
 
 
 def store(payloads: DataFrame, payload_col: str, name: str = "media") -> DataFrame:
-    """Write payloads to a media table in the shared folder: (digest, n_bytes, media)."""
+    """Write payloads to a media table in the shared folder: (digest, n_bytes, media).
+
+    A task stores a payload once, however many rows have it; several tasks may store the same.
+    """
     schema = pa.schema([("digest", pa.string()), ("n_bytes", pa.int64()), ("media", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stored: set[bytes] = set()
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
-                rows = [(hashlib.sha256(b).hexdigest(), len(b), encode_png(padded(b))) for b in common.as_bytes(batch.column(0).slice(at, 200))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                rows = []
+                for payload in common.as_bytes(batch.column(0).slice(at, 200)):
+                    digest = hashlib.sha256(payload)
+                    if digest.digest() not in stored:
+                        stored.add(digest.digest())
+                        rows.append((digest.hexdigest(), len(payload), encode_png(padded(payload))))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     return stage(payloads.select(payload_col).mapInArrow(run, STORED_DDL), name)
 
@@ -212,12 +224,18 @@ def described(media: DataFrame) -> DataFrame:
     return media.mapInArrow(run, FEATURES_DDL).dropDuplicates(["digest"])
 
 
+def escaped(text: Column) -> Column:
+    """Text as it stands in HTML."""
+    return F.replace(F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each text is the payload of a figure in an HTML document that refers to it by digest."""
-    common.small_batches(spark, 1000)
-    docs = common.table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    figure = F.concat(F.lit('<article><figure><img src="sha256:'), F.sha2(F.encode("text", "UTF-8"), 256), F.lit('"><figcaption>text of document '), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("</figcaption></figure></article>"))
-    sequence = sequences(docs.select("doc_id", figure.alias("html")), "doc_id", "html")
+    """Each text is the payload of a figure between the source and the language of its document,
+    in HTML that refers to it by digest."""
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("text"))
+    figure = F.concat(F.lit('<figure><img src="sha256:'), F.sha2(F.encode("text", "UTF-8"), 256), F.lit('"><figcaption>text of document '), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("</figcaption></figure>"))
+    html = F.concat(F.lit("<article><h1>"), escaped(F.col("source")), F.lit("</h1>"), figure, F.lit("<p>"), escaped(F.col("lang")), F.lit("</p></article>"))
+    sequence = sequences(docs.select("doc_id", html.alias("html")), "doc_id", "html")
     out = resolve(sequence, described(store(docs, "text")))
     return out.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
 
