@@ -7,8 +7,8 @@ nonbranching path, and it is paths that move through the cluster:
 
 1. The anchor of an edge is the least-hashed K-word sequence in it.  Equal edges have equal
    anchors, and about six edges in a row share one.  Documents of the same words are one here
-   (the later ones go as a whole), then an exchange on the anchor finds the anchors that
-   stand at several places; edges of other anchors are not repeated.
+   (the later ones go as a whole), then counts per anchor, partial ones first, find the
+   anchors that stand at several places; edges of other anchors are not repeated.
 2. A document's edges of one repeated anchor are a path.  A join brings the anchors back to
    the texts, and an exchange on (anchor, path) compacts equal paths: all but the first place
    go as a whole, with that place as source coordinate.
@@ -22,7 +22,8 @@ exchanged rows are streams in sorted order that hold one row, whatever the size
 
 Defined results: null and empty texts have no words; rows that repeat an id and its text are
 one document and get the same result; other rows of one id are ordered by a hash of the text;
-rows without an id come last; extra columns are ignored.
+rows without an id come last, as if theirs were 2^63 - 1, and are never one document with a
+row that has it; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,6 +43,7 @@ from inkstone.plans.staging import drop, stage
 SPAN = 20
 K = 8
 LAST = 2**63 - 1  # stands for a null id
+PIECE_BYTES = 8 << 20  # text that a task takes apart at once
 PLACE_BITS = 24  # low bits of a hash that do not count when the least is sought
 
 
@@ -94,9 +96,15 @@ class Edges:
         return tuple(out)
 
 
-def pieces(batch: pa.RecordBatch, rows: int = 250) -> Iterator[pa.RecordBatch]:
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
+def pieces(batch: pa.RecordBatch, text: int, rows: int = 250, size: int = PIECE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most so many rows and bytes of text; a longer text is one."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        most = (ends[at - 1] if at else 0) + size
+        to = min(at + rows, max(at + 1, int(np.searchsorted(ends, most, side="right"))))
+        yield batch.slice(at, to - at)
+        at = to
 
 
 def anchors(docs: DataFrame, span: int, k: int) -> DataFrame:
@@ -105,7 +113,7 @@ def anchors(docs: DataFrame, span: int, k: int) -> DataFrame:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch):
+            for part in pieces(batch, 2):
                 e = Edges(common.as_bytes(part.column(2)), span, k)
                 new = np.ones(len(e.starts), bool)
                 new[1:] = e.anchors[1:] != e.anchors[:-1]
@@ -124,26 +132,12 @@ def anchors(docs: DataFrame, span: int, k: int) -> DataFrame:
 
 
 def repeated(rows: DataFrame) -> DataFrame:
-    """The (doc_id, th, anchor) rows whose anchor stands at two places or more."""
-    schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "th", "anchor")])
+    """The (doc_id, th, anchor) rows whose anchor stands at two places or more.
 
-    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the last row, and whether the row before it has the same anchor
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            columns = [batch.column(i).to_numpy() for i in range(3)]
-            if held is not None:
-                columns = [np.concatenate([[h], c]) for h, c in zip(held[0], columns, strict=True)]
-            same = columns[2][1:] == columns[2][:-1]
-            many = np.concatenate([[held is not None and held[1]], same])
-            many[:-1] |= same
-            held = [c[-1] for c in columns], bool(same[-1]) if len(same) else False
-            yield from common.batches_of(schema, {n: c[:-1][many[:-1]] for n, c in zip(schema.names, columns, strict=True)})
-        if held is not None and held[1]:
-            yield from common.batches_of(schema, {n: [v] for n, v in zip(schema.names, held[0], strict=True)})
-
-    return rows.repartition("anchor").sortWithinPartitions("anchor").select("doc_id", "th", "anchor").mapInArrow(stream, "doc_id long, th long, anchor long")
+    Anchors are unique on the counted side, so Spark can split one that very many rows have.
+    """
+    often = rows.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
+    return rows.join(often, "anchor", "left_semi")
 
 
 PATHS = "anchor long, path long, doc_id long, th long, start long, n long, source_doc long, source_start long, deal long, edges array<long>"
@@ -160,7 +154,7 @@ def paths(docs: DataFrame, span: int, k: int) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch):
+            for part in pieces(batch, 2):
                 e = Edges(common.as_bytes(part.column(2)), span, k)
                 lists = part.column(3)
                 owner = np.repeat(np.arange(part.num_rows, dtype=np.uint64), lists.value_lengths().to_numpy(zero_copy_only=False))
@@ -315,8 +309,9 @@ def repeated_spans(docs: DataFrame, span: int = SPAN, k: int = K) -> tuple[DataF
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, k: int = K) -> DataFrame:
     """(doc_id, n_words, n_removed, kept) per row of docs; kept words are joined by one space."""
     common.small_batches(docs.sparkSession)
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    rows = rows.withColumn("th", F.xxhash64("text"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(id_col).cast("long").isNull().alias("none"))
+    # a row without an id is another document than one whose id is LAST
+    rows = rows.withColumn("th", F.when(F.col("none"), F.xxhash64(F.lit("none"), "text")).otherwise(F.xxhash64("text")))
     found, copies = repeated_spans(rows, span, k)
     marked = found.select("doc_id", "th", "spans.start", "spans.n", F.lit(False).alias("copy"))
     nothing = F.lit(None).cast("array<bigint>")
@@ -325,9 +320,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in pieces(batch):
+            for part in pieces(batch, 1):
                 ids, n_words, n_removed, kept = [], [], [], []
-                for doc, text, start, n, copy in zip(part.column(0).to_pylist(), common.as_bytes(part.column(1)), part.column(2).to_pylist(), part.column(3).to_pylist(), part.column(4).to_pylist(), strict=True):
+                for doc, text, start, n, copy, none in zip(part.column(0).to_pylist(), common.as_bytes(part.column(1)), *(part.column(i).to_pylist() for i in range(2, 6)), strict=True):
                     words = text.split()
                     left = [] if copy else words
                     if start:
@@ -335,13 +330,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                         np.add.at(change, np.array(start), 1)
                         np.add.at(change, np.array(start) + np.array(n) + span - 1, -1)
                         left = [words[i] for i in np.flatnonzero(np.cumsum(change[:-1]) == 0).tolist()]
-                    ids.append(None if doc == LAST else doc)
+                    ids.append(None if none else doc)
                     n_words.append(len(words))
                     n_removed.append(len(words) - len(left))
                     kept.append(b" ".join(left))
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((ids, n_words, n_removed, kept), schema, strict=True)], schema=schema)
 
-    whole = rows.join(marked, ["doc_id", "th"], "left").select("doc_id", "text", "start", "n", "copy")
+    whole = rows.join(marked, ["doc_id", "th"], "left").select("doc_id", "text", "start", "n", "copy", "none")
     return whole.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept binary")
 
 

