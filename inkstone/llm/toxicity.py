@@ -9,7 +9,8 @@ segment, so a few toxic words count the same in a short text and in a very long
 Vectors and softmax weights are trained together by Adam on labelled texts; a text's loss is
 that of its segments, weighted towards the worst.  Training starts from log ratios of n-gram
 counts.  At most SAMPLE texts of each class are used, those with the smallest hashes of their
-ids; that bound is the only one, and every text is scored whole.
+ids, and of these, in that order, those with which the class stays within SAMPLE_BYTES, so the
+driver's memory is bounded; nothing else is, and every text is scored whole.
 
 When scoring, the model collapses to one number per bucket (the difference of the two
 logits), so a word is a number, and a worker keeps the numbers of frequent words.
@@ -17,17 +18,20 @@ logits), so a word is a number, and a worker keeps the numbers of frequent words
 Defined results: null and empty texts score as an empty segment; without labelled rows of
 both classes every score is the share of toxic labels (0 without labels); rows without an id
 are scored and never trained on; equal rows score equally; labels that repeat an id count as
-toxic if any does; extra columns are carried, added ones start with __tx_.
+toxic if any does; of texts that repeat an id the first in order is trained on; bytes that are
+no UTF-8 are read as replacement letters; extra columns are carried, added ones start with __tx_.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from inkstone.llm import common
@@ -35,6 +39,7 @@ from inkstone.llm import common
 BITS, NGRAMS, WIDTH = 17, (3, 4, 5), 6
 SEGMENT = 3
 SAMPLE = 1500
+SAMPLE_BYTES = 16 << 20
 ROUNDS = 40
 #: Steps for the vectors, the softmax weights and the biases.
 STEP, DAMPING = (0.2, 0.1, 0.1), 0.05
@@ -201,26 +206,41 @@ class WordScores(dict):
         return (1 / (1 + np.exp(-np.clip(worst, -60, 60)))).round(9).tolist()
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int | None = None, sample: int = SAMPLE) -> Model:
-    """Fit on at most sample texts of each class; with folds, rows of fold 0 are left out."""
+_KNOWN: dict[bytes, WordScores] = {}  # that of the last model, kept by a worker from task to task
+
+
+def scores_of(model: Model, name: bytes) -> WordScores:
+    if name not in _KNOWN:
+        _KNOWN.clear()
+        _KNOWN[name] = WordScores(model)
+    return _KNOWN[name]
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int | None = None, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """Fit on at most sample texts and sample_bytes of each class; with folds, rows of fold 0 are left out."""
     ids = labels.filter(F.col("doc_id").isNotNull() & F.col(label_col).isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("__tx_id")).agg(F.max(label_col).alias("__tx_label"))
     if folds:
         ids = ids.filter(F.crc32(F.col("__tx_id").cast("string").cast("binary")) % folds != 0)
     order = (F.xxhash64("__tx_id"), F.col("__tx_id"))
     few = [ids.filter(F.col("__tx_label") == k).orderBy(*order).limit(sample) for k in (0, 1)]
     chosen = F.broadcast(few[0].unionByName(few[1]))  # at most 2 * sample rows of two numbers
-    rows = docs.select(F.col(id_col).cast("long").alias("__tx_id"), F.col(text_col).cast("string").alias("__tx_text")).join(chosen, "__tx_id")
-    rows = rows.orderBy(*order, "__tx_text").limit(2 * sample).collect()  # at most 2 * sample texts
-    return fit([(r["__tx_text"] or "").encode() for r in rows], np.array([r["__tx_label"] for r in rows], np.int64))
+    texts = docs.select(F.col(id_col).cast("long").alias("__tx_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__tx_text")).join(chosen, "__tx_id")
+    # lengths first: a text beyond the bound never leaves its task
+    sizes = texts.withColumn("__tx_size", F.octet_length("__tx_text")).filter(F.col("__tx_size") <= sample_bytes)
+    rows = sizes.groupBy("__tx_id", "__tx_label").agg(F.min(F.struct("__tx_text", "__tx_size")).alias("t")).select("__tx_id", "__tx_label", "t.__tx_text", "t.__tx_size")
+    upto = W.partitionBy("__tx_label").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)  # over sample rows
+    rows = rows.withColumn("__tx_sum", F.sum("__tx_size").over(upto)).filter(F.col("__tx_sum") <= sample_bytes)
+    rows = rows.orderBy(*order).select("__tx_text", "__tx_label").collect()  # at most 2 * sample texts, 2 * sample_bytes
+    return fit([r["__tx_text"].encode() for r in rows], np.array([r["__tx_label"] for r in rows], np.int64))
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs with __tx_score."""
     common.small_batches(docs.sparkSession)
-    names = docs.columns
+    names, name = docs.columns, hashlib.sha256(model.weights.tobytes() + repr((model.bias, model.constant)).encode()).digest()
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordScores(model)
+        known = scores_of(model, name)
         at = names.index(text_col)
         for batch in batches:
             out: list[float] = []

@@ -35,6 +35,40 @@ def test_misspellings_in_short_and_long_texts():
     assert toxicity.WordScores(model).score([b"SNORKWADLE the", b"", b" \n"])[0] > 0.5
 
 
+def word_number(model, word):
+    """A word's number from its n-grams one at a time."""
+    from inkstone.llm import common
+
+    letters = "\x02" + word.encode().lower().decode() + "\x03"
+    grams = [letters[i : i + n] for n in toxicity.NGRAMS for i in range(len(letters) - n + 1)]
+    buckets = [int(common.rolling(np.array([ord(c) for c in g], np.uint64), len(g), 0x9E3779B97F4A7C15 + 2 * len(g))[0]) >> (64 - toxicity.BITS) for g in grams]
+    return sum(float(model.weights[b]) for b in buckets) / max(len(buckets), 1)
+
+
+def test_scores_word_by_word():
+    rows = made(150, 6)
+    model = toxicity.fit([r[1].encode() for r in rows], np.array([r[2] for r in rows]), rounds=5)
+    texts = [r[1] for r in made(20, 7)] + ["", "a", "Naïve Ünï x\u2009y", "snorkwaddleea " * 10]
+    for text, got in zip(texts, toxicity.WordScores(model).score([t.encode() for t in texts]), strict=True):
+        words = [w.decode() for w in text.encode().split()]
+        parts = [words[i : i + toxicity.SEGMENT] for i in range(0, max(len(words), 1), toxicity.SEGMENT)]
+        odds = max(sum(word_number(model, w) for w in p) / max(len(p), 1) for p in parts) + model.bias
+        assert abs(got - 1 / (1 + np.exp(-odds))) < 1e-6
+
+
+def test_training_is_bounded_in_bytes_and_takes_an_id_once(spark, monkeypatch):
+    rows = [(i, "w" * 100 + f" {i}", i % 2, "") for i in range(40)]
+    rows += [(0, "other text of an id", 0, ""), (99, "x" * 5000, 1, "")]
+    docs, seen = spark.createDataFrame(rows, SCHEMA), {}
+    monkeypatch.setattr(toxicity, "fit", lambda texts, labels: seen.update(texts=texts, labels=labels))
+    toxicity.train(docs, docs.select("doc_id", "toxic"), sample_bytes=1000)
+    for k in (0, 1):
+        mine = [t for t, x in zip(seen["texts"], seen["labels"], strict=True) if x == k]
+        assert 800 <= sum(map(len, mine)) <= 1000 and len(mine) in (9, 10)
+    toxicity.train(docs, docs.select("doc_id", "toxic"))
+    assert len(seen["texts"]) == 41 and sum(t.startswith(b"other") for t in seen["texts"]) == 1
+
+
 def test_labels_of_held_out_rows_are_not_used(spark):
     rows = made(120, 3)
     docs = spark.createDataFrame(rows, SCHEMA)
