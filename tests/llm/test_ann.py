@@ -30,7 +30,7 @@ def brute(rows, queries, k):
 def test_recall_and_scores_over_blocks(spark):
     rows = vectors(3000)
     df = spark.createDataFrame(rows, SCHEMA)
-    out = ann.nearest_neighbours(df, df.filter("vec_id % 50 = 0"), block_rows=700, query_rows=25, candidates=120, share=0.2).collect()
+    out = ann.nearest_neighbours(df, df.filter("vec_id % 50 = 0"), block_rows=700, candidates=120, share=0.2).collect()
     want = brute(rows, [i for i in range(0, 3000, 50)], 10)
     got = {}
     for r in out:
@@ -47,15 +47,6 @@ def test_recall_and_scores_over_blocks(spark):
     assert hits / (10 * len(want)) >= 0.9
 
 
-def test_recall_on_the_table(spark, data):
-    rows = [(r.vec_id, list(r.embedding)) for r in spark.read.parquet(f"{data}/embeddings.parquet").collect()]
-    want = brute(rows, [i for i, _ in rows if i % 100 == 0], 10)
-    got = {}
-    for r in ann.op10_hash_prefix_forest(spark, data).collect():
-        got.setdefault(r.query_id, set()).add(r.vec_id)
-    assert sum(len(got[q] & {v for v, _ in w}) for q, w in want.items()) / sum(map(len, want.values())) >= 0.9
-
-
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0], 1), (100, [0.0, 1.0], 1), (200, [0.0, 0.0], 1), (300, None, 1), (400, [nan, 1.0], 1), (500, [inf, 1.0], 1), (600, [None, 1.0], 1), (700, [1.0], 1), (None, [1.0, 1.0], 1), (5, [1.0, 0.0], 1), (4, [1.0, 0.0], 1), (5, [1.0, 0.0], 2)]
@@ -66,6 +57,18 @@ def test_odd_vectors(spark):
     assert ann.nearest_neighbours(df, df.filter("false")).collect() == []
 
 
-def test_shared_prefix():
-    a = np.array([0, 1, 2**63, 2**64 - 1], np.uint64)
-    assert ann.shared_prefix(a, np.uint64(0)).tolist() == [64, 63, 0, 0]
+def test_candidates_come_by_prefix():
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((2000, 16))
+    forest = ann.Forest(np.arange(2000), x, np.zeros(16), ann.planes(16, 8))
+    h = forest.strings(forest.distances(x))
+    assert h.shape == (8, 2000) and (np.sort(h, axis=1) == np.take_along_axis(h, forest.order.reshape(8, -1).astype(np.int64), axis=1)).all()
+    d = forest.distances(x[:1])[0]
+    for length in (forest.depth, forest.depth - 2, 3, 0):
+        lo, hi = forest.ranges(d, h[:, 0], length, 10**6)
+        found = {int(i) for a, b in zip(lo, hi, strict=True) for i in forest.order[a:b]}
+        same = {int(i) for t in range(8) for i in np.flatnonzero(h[t] >> np.uint64(32 - length) == h[t, 0] >> np.uint64(32 - length))} if length else set(range(2000))
+        assert same <= found and 0 in found
+        first = forest.order[lo[0] : hi[0]]
+        assert 0 in first  # the query's own prefix, where no bit differs, comes first
+    assert len(forest.candidates(d, h[:, 0], 100)) == 100 and len(forest.candidates(d, h[:, 0], 5000)) == 2000
