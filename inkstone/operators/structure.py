@@ -306,6 +306,7 @@ def _missing_flag(df: DataFrame, name: str) -> Column:
     return F.col(name) if name in df.columns else F.lit(False)
 
 
+#: The catalog below holds fixed values: names, severities, criteria and thresholds.
 def rules() -> list[tuple[str, str, str, Column]]:
     """The catalog over features: (test_id, severity, criterion, condition), in reporting order."""
     c = F.col

@@ -11,13 +11,18 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used only where the session names no spark.checkpoint.dir (tests, notebooks).
+#: Used only where a local session names no spark.checkpoint.dir (tests, notebooks).
 FALLBACK = "file:///tmp/checkpoints/inkstone"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir, or a local one where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or FALLBACK
+    """The folder named in spark.checkpoint.dir; a local one where it is unset and the session too
+    is local.  On a cluster executors would each write to a disk of their own, so it is an error."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+        root = FALLBACK
     return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 

@@ -25,7 +25,7 @@ def facts(spark, sf_dir):
 
 
 def features(spark, sf_dir):
-    """Features of pages; form where the address says so, so that rules by type have work."""
+    """Features of pages, typed in turn by their number, so that rules by type have work."""
     kinds = F.array(*[F.lit(t) for t in (*S.TYPES, "general")])
     typed = facts(spark, sf_dir).withColumn("doc_type", F.element_at(kinds, (F.pmod("doc_id", F.lit(6)) + 1).cast("int")))
     return S.features(elements(spark, sf_dir), typed.withColumn("table_candidates", F.when(F.pmod("doc_id", F.lit(10)) == 0, 1).otherwise(0)))
@@ -67,14 +67,14 @@ def type_scores(spark, sf_dir):
 
 
 def suggestions(spark, sf_dir):
-    """Turns of conversations as suggested elements of the page of their number."""
+    """Turns of conversations as suggested elements of every third page, some beyond those there are."""
     kind = F.when(F.col("role") == "user", "H2").when(F.col("role") == "assistant", "P").otherwise("LI")
-    return bridge.table(spark, sf_dir, "conversations").select(F.lit(0).alias("doc_id"), F.col("conv_id").alias("page_num"), F.col("turn").alias("ord"), kind.alias("elem_type"), "text")
+    return bridge.table(spark, sf_dir, "conversations").select(F.pmod(F.col("conv_id") * 3, F.lit(50)).alias("doc_id"), (F.col("conv_id") * 3).alias("page_num"), F.col("turn").alias("ord"), kind.alias("elem_type"), "text")
 
 
 def ai_structure_merge(spark, sf_dir):
-    """Pages of paragraphs only give way to suggestions where there are any."""
-    own = elements(spark, sf_dir).select(F.lit(0).alias("doc_id"), F.col("doc_id").alias("page_num"), F.col("ord").cast("long").alias("ord"), "elem_type", "text")
+    """Pages of paragraphs only give way to suggestions where there are any; fifty documents."""
+    own = elements(spark, sf_dir).select(F.pmod("doc_id", F.lit(50)).alias("doc_id"), F.col("doc_id").alias("page_num"), F.col("ord").cast("long").alias("ord"), "elem_type", "text")
     return S.merge_suggestions(own, suggestions(spark, sf_dir))
 
 
@@ -211,8 +211,8 @@ checks AS (
     FROM facts f JOIN (SELECT page_id AS doc_id, lower(coalesce(html, '')) AS h FROM pages) USING (doc_id) LEFT JOIN counts USING (doc_id))
 )"""
 _PAIRS = LINES_SQL + """,
-leaves AS (SELECT doc_id, page_num, line_index AS ord, replace(text, ' ', '') AS a FROM text_lines WHERE line_index BETWEEN 1 AND 3),
-marks AS (SELECT doc_id, page_num, line_index AS mcid, replace(text, ' ', '') AS b FROM text_lines WHERE line_index BETWEEN 2 AND 6),
+leaves AS (SELECT doc_id, page_num, line_index AS ord, replace(text, ' ', '') AS a FROM text_lines),
+marks AS (SELECT doc_id, page_num, line_index AS mcid, replace(text, ' ', '') AS b FROM text_lines),
 chars AS (SELECT *, list_distinct(string_split(a, '')) AS sa, list_distinct(string_split(b, '')) AS sb FROM leaves JOIN marks USING (doc_id, page_num)),
 scores AS (SELECT doc_id, page_num, ord, mcid, len(list_intersect(sa, sb)) / greatest(len(sa), len(sb)) + CASE WHEN contains(a, b) OR contains(b, a) THEN 0.5 ELSE 0 END::DOUBLE AS score FROM chars)"""
 
@@ -289,12 +289,12 @@ SELECT doc_id, protocol, legal, workplan, form, newsletter,
             ELSE ['protocol','legal','workplan','form','newsletter'][list_position([protocol, legal, workplan, form, newsletter], greatest(protocol, legal, workplan, form, newsletter))] END AS doc_type
 FROM s""",
     "ai_structure_merge": _E + """,
-own AS (SELECT 0 AS doc_id, doc_id AS page_num, ord::BIGINT AS ord, elem_type, text FROM elements WHERE doc_id % 2 = 1 OR elem_type = 'P'),
-sug AS (SELECT 0 AS doc_id, conv_id AS page_num, turn AS ord, CASE role WHEN 'user' THEN 'H2' WHEN 'assistant' THEN 'P' ELSE 'LI' END AS elem_type, text FROM conversations),
-rich AS (SELECT page_num, bool_or(elem_type IN ('H1','H2','H3','Table','L')) AS rich FROM own GROUP BY 1),
-chosen AS (SELECT page_num, coalesce(rich, false) OR s.page_num IS NULL AS keep FROM rich FULL OUTER JOIN (SELECT DISTINCT page_num FROM sug) s USING (page_num))
-SELECT o.*, 'rules' AS origin FROM own o JOIN chosen USING (page_num) WHERE keep
-UNION ALL SELECT s.*, 'suggested' FROM sug s JOIN chosen USING (page_num) WHERE NOT keep""",
+own AS (SELECT doc_id % 50 AS doc_id, doc_id AS page_num, ord::BIGINT AS ord, elem_type, text FROM elements),
+sug AS (SELECT conv_id * 3 % 50 AS doc_id, conv_id * 3 AS page_num, turn AS ord, CASE role WHEN 'user' THEN 'H2' WHEN 'assistant' THEN 'P' ELSE 'LI' END AS elem_type, text FROM conversations),
+rich AS (SELECT doc_id, page_num, bool_or(elem_type IN ('H1','H2','H3','Table','L')) AS rich FROM own GROUP BY ALL),
+chosen AS (SELECT doc_id, page_num, coalesce(rich, false) OR s.offered IS NULL AS keep FROM rich FULL OUTER JOIN (SELECT DISTINCT doc_id, page_num, 1 AS offered FROM sug) s USING (doc_id, page_num))
+SELECT o.*, 'rules' AS origin FROM own o JOIN chosen USING (doc_id, page_num) WHERE keep
+UNION ALL SELECT s.*, 'suggested' FROM sug s JOIN chosen USING (doc_id, page_num) WHERE NOT keep""",
     "mark_scores": "WITH " + _PAIRS + " SELECT doc_id, page_num, ord, mcid, round(score, 9) AS score FROM scores",
     "document_end_to_end": "WITH " + LINES_SQL + f""",
 sourced AS (SELECT l.*, d.source FROM text_lines l JOIN documents d USING (doc_id)),

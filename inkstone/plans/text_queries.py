@@ -177,7 +177,7 @@ SELECT doc_id, page_num, line_index, score, CASE WHEN score >= 4.25 THEN CASE WH
     "ocr_verdict": "WITH " + _QUALITY + " SELECT doc_id, passed, reasons = '' AS edge_passed, reasons FROM verdict",
     "verdict_vs_label": "WITH " + _QUALITY + " SELECT passed, reasons = '' AS edge_passed, quality, count(*) AS n FROM verdict JOIN labels USING (doc_id) GROUP BY ALL",
     "ocr_findings": f"""
-WITH pages_of AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, (doc_id * 7 % 101)::DOUBLE AS c FROM documents),
+WITH pages_of AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS t, (doc_id * 7 % 101)::DOUBLE AS c FROM documents),
 d AS (SELECT doc_id, sum({counted("t", quality.FOREIGN)}) / greatest(sum(length(t)), 1) AS ratio,
              count(*) FILTER ({stripped("t")} = '') / count(*) AS empty, avg(c) AS mean FROM pages_of GROUP BY 1),
 f AS (
@@ -190,7 +190,7 @@ f AS (
 ) SELECT * FROM f""",
     "digital_or_scanned": f"""
 SELECT doc_id, CASE WHEN sum(CASE WHEN n > 10 THEN n ELSE 0 END) > 50 THEN 'digital' ELSE 'scanned' END AS kind
-FROM (SELECT doc_id, length({stripped("t")}) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t FROM documents)) GROUP BY 1""",
+FROM (SELECT doc_id, length({stripped("t")}) AS n FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS t FROM documents)) GROUP BY 1""",
     "scanned_result_class": f"""
 SELECT doc_id, CASE WHEN length(t) < 30 OR (length(t) - length(replace(t, '?', ''))) / length(t) > 0.20 THEN 'review_required' ELSE 'basic_accessible_scanned' END AS class
 FROM (SELECT doc_id, {stripped("coalesce(text, '')")} AS t FROM documents)""",

@@ -35,13 +35,13 @@ def test_every_line_is_a_leaf_and_a_mark(spark, tmp_path):
 def test_merge_keeps_all_elements(spark, tmp_path):
     page = "<html><body><h1>Head</h1><p>one</p><ul><li>item</li></ul></body></html>"
     plain = "<html><body><p>one</p><p>two</p></body></html>"
-    talk = {"conv_id": [2, 4], "turn": [0, 0], "role": ["user", "user"], "text": ["asked", "asked"]}
-    at = tables(tmp_path, pages={"page_id": [2, 4], "url": ["u", "u"], "html": [page, plain]}, conversations=talk)
+    talk = {"conv_id": [2, 4, 5], "turn": [0, 0, 0], "role": ["user"] * 3, "text": ["asked"] * 3}
+    at = tables(tmp_path, pages={"page_id": [6, 12], "url": ["u", "u"], "html": [page, plain]}, conversations=talk)
     rows = catalog.QUERIES["ai_structure_merge"](spark, at).collect()
-    own = catalog.QUERIES["html_elements"](spark, at).filter("doc_id = 2").count()
-    assert [r.origin for r in rows if r.page_num == 2] == ["rules"] * own
-    assert {r.elem_type for r in rows if r.page_num == 2} >= {"H1", "L"}
-    assert [(r.origin, r.text) for r in rows if r.page_num == 4] == [("suggested", "asked")]
+    own = catalog.QUERIES["html_elements"](spark, at).filter("doc_id = 6").count()
+    assert [r.origin for r in rows if r.page_num == 6] == ["rules"] * own
+    assert {r.elem_type for r in rows if r.page_num == 6} >= {"H1", "L"}
+    assert [(r.origin, r.text) for r in rows if r.page_num in (12, 15)] == [("suggested", "asked")] * 2
 
 
 def test_null_texts_are_pages(spark, tmp_path):
