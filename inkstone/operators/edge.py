@@ -24,21 +24,22 @@ COLUMN_TOLERANCE, COLUMN_SHARE = 16.0, 0.65
 def grouped_rows(lines: DataFrame, tolerance: float = ROW_TOLERANCE) -> DataFrame:
     """Lines of one row joined: (doc, page, row_no, text, x, x_right, font_size, bold, cell_texts, cell_xs, y).
 
-    A line goes to the first row, in order of making, whose first line is within tolerance.
+    Lines are taken from the top down, left to right; one goes to the first row, in order of
+    making, whose first line is within tolerance.  A row stands where its leftmost line does.
     """
     schema = "doc_id long, page_num int, row_no int, text string, x double, x_right double, font_size double, bold boolean, cell_texts array<string>, cell_xs array<double>, y double"
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for page, part in pdf.sort_values(["page_num", "line_index"]).groupby("page_num", sort=True):
+        for page, part in pdf.sort_values(["page_num", "y", "x", "line_index"], ascending=[True, False, True, True]).groupby("page_num", sort=True):
             rows: list[tuple[float, list]] = []
             for b in part.itertuples(index=False):
                 home = next((members for anchor, members in rows if abs(anchor - b.y) <= tolerance), None)
                 if home is None:
                     rows.append((b.y, home := []))
                 home.append(b)
-            for n, (_, members) in enumerate(sorted(rows, key=lambda r: -r[0]), 1):
-                members = sorted(members, key=lambda b: b.x)
+            parted = [sorted(members, key=lambda b: b.x) for _, members in rows]
+            for n, members in enumerate(sorted(parted, key=lambda m: (-m[0].y, m[0].x)), 1):
                 many = len(members) > 1
                 out.append((pdf["doc_id"].iloc[0], page, n, " ".join(b.text for b in members), min(b.x for b in members), max(b.x + b.width for b in members), sum(b.font_size for b in members) / len(members), any(b.bold for b in members), [b.text for b in members] if many else None, [b.x for b in members] if many else None, members[0].y))
         return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])

@@ -161,7 +161,7 @@ def parent_tree(elements: DataFrame) -> DataFrame:
 def owners(marks: DataFrame, claims: DataFrame) -> DataFrame:
     """The element that owns each mark: the first that claims it, else the page's section."""
     first = claims.groupBy("doc_id", "page_num", "mcid").agg(F.min("ord").alias("owner"))
-    return marks.join(first, ["doc_id", "page_num", "mcid"], "left").select("doc_id", "page_num", "mcid", "owner", F.col("owner").isNull().alias("by_section"))
+    return marks.select("doc_id", "page_num", "mcid").join(first, ["doc_id", "page_num", "mcid"], "left").select("doc_id", "page_num", "mcid", "owner", F.col("owner").isNull().alias("by_section"))
 
 
 def unclaimed(marks: DataFrame, claims: DataFrame) -> DataFrame:
