@@ -47,6 +47,7 @@ SCALE, SMOOTHING = 8.0, 3.0
 #: How sharply a text stands by its worst segments.
 SHARPNESS = 2.0
 FOLDS = 5
+WORDS_AT_ONCE = 10_000  # whose n-grams are hashed together
 
 
 def subwords(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -92,9 +93,13 @@ class Sparse:
 
     @staticmethod
     def _order(keys: np.ndarray, values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-        order = np.argsort(keys, kind="stable")
-        found, first = np.unique(keys[order], return_index=True)
-        return values[order].astype(np.int32), found, first, n
+        packed = keys.astype(np.int64)  # key above value, sorted in place: a pair takes 8 bytes and no more
+        packed <<= 32
+        packed |= values
+        packed.sort()
+        high, low = packed.view(np.int32)[1::2], packed.view(np.int32)[::2]
+        first = np.flatnonzero(np.append(True, high[1:] != high[:-1])[: len(high)])
+        return low.copy(), high[first], first, n
 
     @staticmethod
     def _sums(order: tuple, x: np.ndarray) -> np.ndarray:
@@ -119,22 +124,29 @@ def fit(texts: list[bytes], labels: np.ndarray, rounds: int = ROUNDS) -> Model:
     if not 0 < labels.sum() < len(labels):
         return Model(np.zeros(1 << BITS, np.float32), 0.0, float(labels.mean()) if len(labels) else 0.0)
     index: dict[bytes, int] = {}
-    sequence, segment, owner, n_segments = [], [], [], 0
-    for doc, text in enumerate(texts):
-        ids = [index.setdefault(w, len(index)) for w in text.lower().split()]
-        parts = max(1, -(-len(ids) // SEGMENT))
-        sequence += ids
-        segment += [n_segments + i // SEGMENT for i in range(len(ids))]
-        owner += [doc] * parts
-        n_segments += parts
+    ids = [np.fromiter((index.setdefault(w, len(index)) for w in text.lower().split()), np.int32) for text in texts]
+    n = np.array([len(x) for x in ids], np.int64)
+    sequence = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+    del texts, ids
+    parts = np.maximum(1, -(-n // SEGMENT))
+    n_segments, inner = int(parts.sum()), np.arange(len(sequence)) - np.repeat(np.cumsum(n) - n, n)
+    segment = (np.repeat(np.cumsum(parts) - parts, n) + inner // SEGMENT).astype(np.int32)
     # one more text, empty and clean
-    labels, owner = np.append(labels, 0), np.array([*owner, len(texts)])
-    sequence, segment = np.array(sequence, np.int32), np.array(segment, np.int32)
+    labels, owner = np.append(labels, 0), np.append(np.repeat(np.arange(len(n), dtype=np.int32), parts), np.int32(len(n)))
     if not index:
         return Model(np.zeros(1 << BITS, np.float32), 0.0, float(labels.mean()))
     y = labels[owner].astype(np.float32)
-    grams = Sparse(*subwords(list(index)), len(index), 1 << BITS)
-    bags = Sparse(segment, sequence, n_segments + 1, len(index))
+    words = list(index)
+    del index
+    owners, buckets = [], []
+    for at in range(0, len(words), WORDS_AT_ONCE):
+        of, bucket = subwords(words[at : at + WORDS_AT_ONCE])
+        owners.append(of + np.int32(at))
+        buckets.append(bucket)
+    owners, buckets = np.concatenate(owners), np.concatenate(buckets)
+    grams = Sparse(owners, buckets, len(words), 1 << BITS)
+    del owners, buckets
+    bags = Sparse(segment, sequence, n_segments + 1, len(words))
     share = np.where(labels == 1, 1 / labels.sum(), 1 / (len(labels) - labels.sum()))
     rng = np.random.default_rng(7)
     params = [rng.normal(0, 0.01, (1 << BITS, WIDTH)).astype(np.float32), rng.normal(0, 0.1, (WIDTH, 2)).astype(np.float32), np.array([[1.0, -1.0]], np.float32)]
@@ -231,7 +243,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     upto = W.partitionBy("__tx_label").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)  # over sample rows
     rows = rows.withColumn("__tx_sum", F.sum("__tx_size").over(upto)).filter(F.col("__tx_sum") <= sample_bytes)
     rows = rows.orderBy(*order).select("__tx_text", "__tx_label").collect()  # at most 2 * sample texts, 2 * sample_bytes
-    return fit([r["__tx_text"].encode() for r in rows], np.array([r["__tx_label"] for r in rows], np.int64))
+    kinds = np.array([r["__tx_label"] for r in rows], np.int64)
+    return fit([rows.pop(0)["__tx_text"].encode() for _ in range(len(rows))], kinds)
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
