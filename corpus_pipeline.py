@@ -3,6 +3,12 @@
 Each stage takes what the one before it kept and returns a DataFrame; run() writes each
 result as Parquet to the shared folder and reads it back, so a lost executor costs one
 stage at most.  All stages but the last return the columns of documents.
+
+Defined results: null and empty texts pass the first two stages if an empty text is not
+rejected, link with nothing in the third, and have no words for the fourth, which takes none of
+them; rows without an id are scored, cleaned, kept and mixed like others; rows that repeat an
+id are one document where documents are counted; of equal texts the smallest id stays; empty
+tables give empty results; further columns are carried to the last stage, which has its own.
 """
 
 from __future__ import annotations
@@ -56,7 +62,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("best_fit_packing", pack_sequences),
 ]
 
-#: The first, third and fifth stage have no SQL form; tests check them against brute force.
+#: The first, third and fifth stage have no SQL form; tests/llm check their operators against plain Python.
 ORACLE_SQL = None
 
 
