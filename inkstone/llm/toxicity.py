@@ -135,7 +135,7 @@ def fit(texts: list[bytes], labels: np.ndarray, rounds: int = ROUNDS) -> Model:
     labels, owner = np.append(labels, 0), np.append(np.repeat(np.arange(len(n), dtype=np.int32), parts), np.int32(len(n)))
     if not index:
         return Model(np.zeros(1 << BITS, np.float32), 0.0, float(labels.mean()))
-    y = labels[owner].astype(np.float32)
+    y, first = labels[owner].astype(np.float32), np.flatnonzero(np.diff(owner, prepend=-1))  # every text has a segment
     words = list(index)
     del index
     owners, buckets = [], []
@@ -154,18 +154,17 @@ def fit(texts: list[bytes], labels: np.ndarray, rounds: int = ROUNDS) -> Model:
     params[1][0] = (-SCALE / 2, SCALE / 2)
     mean, square = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for t in range(1, rounds + 1):
-        vectors = bags.means(grams.means(params[0]))
-        logits = vectors @ params[1] + params[2]
-        odds = logits[:, 1] - logits[:, 0]
+        # means and softmax odds are linear: one column passes through them instead of WIDTH, in both directions
+        tilt = params[1][:, 1:] - params[1][:, :1]
+        odds = (bags.means(grams.means(params[0] @ tilt)) + (params[2][0, 1] - params[2][0, 0]))[:, 0]
         p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
-        worst = np.full(len(labels), -np.inf)
-        np.maximum.at(worst, owner, odds)
+        worst = np.maximum.reduceat(odds, first)
         weight = np.exp(np.clip(SHARPNESS * (odds - worst[owner]), -30, 0))
         weight *= share[owner] / np.bincount(owner, weights=weight)[owner]
         g = (weight * (p - y) / 2).astype(np.float32)
-        d_logits = np.stack([-g, g], axis=1)
-        d_vectors = d_logits @ params[1].T
-        grads = [grams.back(bags.back(d_vectors)), vectors.T @ d_logits, d_logits.sum(axis=0, keepdims=True)]
+        back = grams.back(bags.back(g[:, None]))  # of the odds, by bucket
+        d_softmax, d_bias = params[0].T @ back, g.sum()
+        grads = [back @ tilt.T, np.hstack([-d_softmax, d_softmax]), np.array([[-d_bias, d_bias]], np.float32)]
         for i, grad in enumerate(grads):
             mean[i] += 0.1 * (grad - mean[i])
             square[i] += 0.01 * (grad * grad - square[i])
