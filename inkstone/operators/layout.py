@@ -105,12 +105,17 @@ def font_sizes(blocks: DataFrame) -> DataFrame:
 
     With fewer than four sizes all are the median, 12 without any.
     """
+    return _sizes(blocks).drop("first_page")
+
+
+def _sizes(blocks: DataFrame) -> DataFrame:
+    """font_sizes, and the document's first page, by one aggregate."""
     s = F.sort_array(F.collect_list(F.when(F.col("font_size") > 0, F.col("font_size"))))
     median = F.percentile(F.when(F.col("font_size") > 0, F.col("font_size")), 0.5)
-    d = blocks.groupBy("doc_id").agg(s.alias("s"), F.coalesce(median, F.lit(12.0)).alias("median"))
+    d = blocks.groupBy("doc_id").agg(s.alias("s"), F.coalesce(median, F.lit(12.0)).alias("median"), F.min("page_num").alias("first_page"))
     n = F.size("s")
     at = lambda q: F.when(n < 4, F.col("median")).otherwise(F.try_element_at("s", (n * F.lit(q)).cast("int") + 1))
-    return d.select("doc_id", n.alias("n"), at(0.10).alias("p10"), at(0.60).alias("p60"), at(0.75).alias("p75"), at(0.90).alias("p90"), "median")
+    return d.select("doc_id", n.alias("n"), at(0.10).alias("p10"), at(0.60).alias("p60"), at(0.75).alias("p75"), at(0.90).alias("p90"), "median", "first_page")
 
 
 def newsletter_score(blocks: DataFrame) -> DataFrame:
@@ -120,16 +125,20 @@ def newsletter_score(blocks: DataFrame) -> DataFrame:
 
 def gaps(blocks: DataFrame) -> DataFrame:
     """The gap above each block (the first of a page: its height), and the page's mean gap."""
+    return _with_gaps(blocks).select(*KEY, "gap", "mean_gap", "nth")
+
+
+def _with_gaps(blocks: DataFrame) -> DataFrame:
+    """blocks with gap, mean_gap and nth, by windows over one exchange."""
     by_y = W.partitionBy(*PAGE).orderBy("y", "block_seq")
-    rows = blocks.select(*KEY, "y", (F.col("y") - F.lag(F.col("y") + F.col("height")).over(by_y)).alias("g"), F.row_number().over(by_y).alias("nth"))
-    mean = F.coalesce(F.avg(F.when(F.col("g") > 0, F.col("g"))).over(W.partitionBy(*PAGE)), F.lit(0.0))
-    return rows.select(*KEY, F.coalesce("g", "y").alias("gap"), mean.alias("mean_gap"), "nth")
+    rows = blocks.withColumns({"__gap": F.col("y") - F.lag(F.col("y") + F.col("height")).over(by_y), "nth": F.row_number().over(by_y)})
+    mean = F.coalesce(F.avg(F.when(F.col("__gap") > 0, F.col("__gap"))).over(W.partitionBy(*PAGE)), F.lit(0.0))
+    return rows.withColumns({"gap": F.coalesce("__gap", "y"), "mean_gap": mean}).drop("__gap")
 
 
 def headings(blocks: DataFrame) -> DataFrame:
     """The heading level of each block, null for none."""
-    first_page = blocks.groupBy("doc_id").agg(F.min("page_num").alias("first_page"))
-    rows = blocks.join(gaps(blocks), KEY).join(font_sizes(blocks), "doc_id").join(first_page, "doc_id")
+    rows = _with_gaps(blocks).join(_sizes(blocks), "doc_id")
     t = T.strip(F.col("text"))
     n, gap, mean, size, bold = T.n_words(t), F.col("gap"), F.col("mean_gap"), F.col("font_size"), F.col("is_bold")
     large = (mean > 0) & (gap > mean * 1.8)
@@ -201,11 +210,7 @@ def border_tables(blocks: DataFrame, rules: DataFrame) -> DataFrame:
     return cells.join(texts, [*PAGE, "row_no", "col_no"], "left").select(*PAGE, "row_no", "col_no", F.when(F.col("row_no") == 1, "TH").otherwise("TD").alias("role"), F.coalesce(F.array_join("ts.t", " "), F.lit("")).alias("text"))
 
 
-# --- rules that depend on their own earlier output: a document at a time
-
-
-def _by_document(rows: DataFrame, function, schema: str) -> DataFrame:
-    return rows.groupBy("doc_id").applyInPandas(function, schema)
+# --- rules that depend on their own earlier output: a page or a document at a time
 
 
 # fixed values
@@ -224,22 +229,21 @@ def key_value_runs(blocks: DataFrame) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for page, part in pdf.sort_values(["page_num", "y", "x", "block_seq"], ascending=[True, True, False, True]).groupby("page_num", sort=True):
-            items = list(part[["block_seq", "x", "label", "value"]].itertuples(index=False))
-            start = runs = 0
-            while start < len(items):
-                end = start
-                while end < len(items) and isinstance(items[end].label, str) and abs(items[end].x - items[start].x) <= KV_SHIFT:
-                    end += 1
-                if end - start < KV_ROWS:
-                    start += 1
-                    continue
-                runs += 1
-                out += [(pdf["doc_id"].iloc[0], page, runs, i + 1, b.block_seq, b.label, b.value) for i, b in enumerate(items[start:end])]
-                start = end
+        items = list(pdf.sort_values(["y", "x", "block_seq"], ascending=[True, False, True])[["doc_id", "page_num", "block_seq", "x", "label", "value"]].itertuples(index=False))
+        start = runs = 0
+        while start < len(items):
+            end = start
+            while end < len(items) and isinstance(items[end].label, str) and abs(items[end].x - items[start].x) <= KV_SHIFT:
+                end += 1
+            if end - start < KV_ROWS:
+                start += 1
+                continue
+            runs += 1
+            out += [(b.doc_id, b.page_num, runs, i + 1, b.block_seq, b.label, b.value) for i, b in enumerate(items[start:end])]
+            start = end
         return pd.DataFrame(out, columns=["doc_id", "page_num", "run_no", "row_no", "block_seq", "label", "value"])
 
-    return _by_document(rows, run, "doc_id long, page_num long, run_no int, row_no int, block_seq int, label string, value string")
+    return rows.groupBy(*PAGE).applyInPandas(run, "doc_id long, page_num long, run_no int, row_no int, block_seq int, label string, value string")
 
 
 def list_candidates(blocks: DataFrame) -> DataFrame:
@@ -282,6 +286,6 @@ def implied_lists(candidates: DataFrame) -> DataFrame:
         return pd.DataFrame(out, columns=["doc_id", "page_num", "block_seq", "list_no", "item_no"])
 
     rows = candidates.select(*KEY, "place", "x", "y", "height", "candidate", "n_chars")
-    return _by_document(rows, run, "doc_id long, page_num long, block_seq int, list_no int, item_no int")
+    return rows.groupBy("doc_id").applyInPandas(run, "doc_id long, page_num long, block_seq int, list_no int, item_no int")
 
 
