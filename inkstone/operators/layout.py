@@ -210,7 +210,11 @@ def border_tables(blocks: DataFrame, rules: DataFrame) -> DataFrame:
     return cells.join(texts, [*PAGE, "row_no", "col_no"], "left").select(*PAGE, "row_no", "col_no", F.when(F.col("row_no") == 1, "TH").otherwise("TD").alias("role"), F.coalesce(F.array_join("ts.t", " "), F.lit("")).alias("text"))
 
 
-# --- rules that depend on their own earlier output: a page or a document at a time
+# --- rules that depend on their own earlier output: a document at a time
+
+
+def _by_document(rows: DataFrame, function, schema: str) -> DataFrame:
+    return rows.groupBy("doc_id").applyInPandas(function, schema)
 
 
 # fixed values
@@ -229,21 +233,22 @@ def key_value_runs(blocks: DataFrame) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
-        items = list(pdf.sort_values(["y", "x", "block_seq"], ascending=[True, False, True])[["doc_id", "page_num", "block_seq", "x", "label", "value"]].itertuples(index=False))
-        start = runs = 0
-        while start < len(items):
-            end = start
-            while end < len(items) and isinstance(items[end].label, str) and abs(items[end].x - items[start].x) <= KV_SHIFT:
-                end += 1
-            if end - start < KV_ROWS:
-                start += 1
-                continue
-            runs += 1
-            out += [(b.doc_id, b.page_num, runs, i + 1, b.block_seq, b.label, b.value) for i, b in enumerate(items[start:end])]
-            start = end
+        for page, part in pdf.sort_values(["page_num", "y", "x", "block_seq"], ascending=[True, True, False, True]).groupby("page_num", sort=True):
+            items = list(part[["block_seq", "x", "label", "value"]].itertuples(index=False))
+            start = runs = 0
+            while start < len(items):
+                end = start
+                while end < len(items) and isinstance(items[end].label, str) and abs(items[end].x - items[start].x) <= KV_SHIFT:
+                    end += 1
+                if end - start < KV_ROWS:
+                    start += 1
+                    continue
+                runs += 1
+                out += [(pdf["doc_id"].iloc[0], page, runs, i + 1, b.block_seq, b.label, b.value) for i, b in enumerate(items[start:end])]
+                start = end
         return pd.DataFrame(out, columns=["doc_id", "page_num", "run_no", "row_no", "block_seq", "label", "value"])
 
-    return rows.groupBy(*PAGE).applyInPandas(run, "doc_id long, page_num long, run_no int, row_no int, block_seq int, label string, value string")
+    return _by_document(rows, run, "doc_id long, page_num long, run_no int, row_no int, block_seq int, label string, value string")
 
 
 def list_candidates(blocks: DataFrame) -> DataFrame:
@@ -286,6 +291,6 @@ def implied_lists(candidates: DataFrame) -> DataFrame:
         return pd.DataFrame(out, columns=["doc_id", "page_num", "block_seq", "list_no", "item_no"])
 
     rows = candidates.select(*KEY, "place", "x", "y", "height", "candidate", "n_chars")
-    return rows.groupBy("doc_id").applyInPandas(run, "doc_id long, page_num long, block_seq int, list_no int, item_no int")
+    return _by_document(rows, run, "doc_id long, page_num long, block_seq int, list_no int, item_no int")
 
 
