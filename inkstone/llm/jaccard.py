@@ -12,10 +12,10 @@ their sets share at least the given percentage of their union.  No link is lost.
 4. In each cell a tree of count vectors (rtree.py) links members whose bound, the sum of the
    coordinate minima, allows a link.  Only links that join new members leave the cell, so a
    cell of m near copies gives m - 1 rows and not m squared.
-5. Connected components of these give clusters.  A cluster's texts meet in one task, split
-   into blocks of bounded size, and the same tree, now verifying on the exact sets, finds
-   the true links.  A cluster of several blocks needs two more steps: the largest class of
-   each block is compared by a representative, and then whatever is not in the cluster's
+5. Connected components of these give clusters.  A cluster's texts meet, and the same tree,
+   now verifying on the exact sets, finds the true links.
+   Large cells and clusters are dealt to blocks of bounded size (group_links): the blocks'
+   largest classes are compared by representatives, and then whatever is not in the group's
    largest class is compared with every block.
 6. Components of the true links, joined back through the representatives.
 
@@ -27,25 +27,26 @@ by near_duplicates and carried by keep_one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from inkstone.llm import common, rtree
 from inkstone.llm.components import components
-from inkstone.plans.staging import drop, stage
+from inkstone.plans.staging import stage
 
 WIDTH, PERCENT = 5, 80
 COUNTER_BITS = 24
 #: A counter enters the sums if a task counts this many; the order may be any, so this only saves rows.
 TASK_LEAST = 3
 FREQUENT = 24
+#: Members of a cell that a task holds at once; a larger cell is dealt to blocks.
+CELL_SETS = 4096
 #: Shingles of the sets that a task holds at once when it verifies a cluster.
 BLOCK_SHINGLES = 1_000_000
 
@@ -152,126 +153,156 @@ def bounds_of(key: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]]) if len(key) else np.zeros(1, np.int64)
 
 
+def groups_of(part: pa.Table, keys: tuple[str, ...]) -> np.ndarray:
+    """Where the runs of equal keys start, and the end."""
+    changes = np.zeros(part.num_rows, np.int64)
+    for k in keys:
+        column = part[k].to_numpy()
+        changes[1:] |= column[1:] != column[:-1]
+    return bounds_of(np.cumsum(changes))
+
+
 def cells(reps: DataFrame) -> DataFrame:
-    """(cell, node) for the prefix shingles that several sets hold; equal cells are one."""
-    schema = pa.schema([("cell", pa.int64()), ("node", pa.int64())])
-
-    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in runs(batches, ("key",)):
-            key, node = part["key"].to_numpy(), part["node"].to_numpy()
-            at = bounds_of(key)
-            sizes = np.diff(at)
-            with np.errstate(over="ignore"):
-                sign = common.mixed(np.add.reduceat(common.mixed(node.view(np.uint64) + np.uint64(1)), at[:-1]) + sizes.astype(np.uint64))
-            many = np.repeat(sizes > 1, sizes)
-            yield from common.batches_of(schema, {"cell": np.repeat(sign.view(np.int64), sizes)[many], "node": node[many]})
+    """(label, node, weight, blocks, block) for the prefix shingles that several sets hold; equal cells are one.
 
+    A cell is named by the sum of its members' hashes, which is taken before the exchange, so
+    the holders of a shingle never meet as a group.  Two cells that share a name by chance are
+    one, which adds members and loses none.  Members of a cell are dealt to blocks.
+    """
     keyed = reps.select(F.col("doc_id").alias("node"), F.explode("prefix").alias("key"))
-    return keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(shared, "cell long, node long").distinct()
+    held = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.bit_xor(F.xxhash64("node")).alias("sign")).filter("members > 1")
+    held = held.select("key", F.xxhash64("members", "sign").alias("label"), F.ceil(F.col("members") / CELL_SETS).cast("long").alias("blocks"))
+    placed = keyed.join(held, "key").groupBy("label", "node").agg(F.max("blocks").alias("blocks"))
+    return placed.select("label", "node", F.lit(1).cast("long").alias("weight"), "blocks", F.pmod(F.xxhash64("node"), "blocks").alias("block"))
 
 
-LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def dealt(rows: DataFrame, most: int, at_most_half: bool = False) -> DataFrame:
+    """rows (label, node, weight) with blocks, a label's number of them, and block, by a hash of node."""
+    count = F.ceil(F.sum("weight") / most)
+    if at_most_half:
+        count = F.least(count, F.ceil(F.count(F.lit(1)) / 2))
+    total = rows.groupBy("label").agg(F.greatest(count, F.lit(1)).cast("long").alias("blocks"))
+    return rows.join(total, "label").withColumn("block", F.pmod(F.xxhash64("node"), "blocks"))
 
 
-def candidates(cell_rows: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) within cells that the bound allows, enough to join all that may belong together."""
-
-    def in_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in runs(batches, ("cell",)):
-            at = bounds_of(part["cell"].to_numpy())
-            node, sizes = part["node"].to_numpy(), part["n"].to_numpy()
-            points, a, b = part["point"].combine_chunks(), [], []
-            lengths = pc.binary_length(points).to_numpy(zero_copy_only=False)
-            cells_of = np.diff(at)
-            # cells of two sets whose points are of one shape are compared many at a time
-            first = at[:-1][cells_of == 2]
-            own = np.array(rtree.GROUPS)[np.searchsorted(rtree.SIZES, sizes, side="right") - 1]
-            alike = (lengths[first] == own[first]) & (lengths[first + 1] == own[first]) & (own[first + 1] == own[first])
-            for length in np.unique(lengths[first[alike]]):
-                pairs = first[alike & (lengths[first] == length)]
-                for lo in range(0, len(pairs), 1000):
-                    i = pairs[lo : lo + 1000]
-                    p, q = (np.frombuffer(b"".join(points.take(pa.array(r)).to_pylist()), np.uint8).reshape(len(i), -1) for r in (i, i + 1))
-                    ok = np.minimum(p, q).sum(axis=1, dtype=np.int64) >= rtree.needed(sizes[i], sizes[i + 1], percent)
-                    a.append(node[i[ok]])
-                    b.append(node[i[ok] + 1])
-            for start, n in [(i, 2) for i in first[~alike]] + list(zip(at[:-1][cells_of > 2], cells_of[cells_of > 2], strict=True)):
-                raw = points.slice(start, n).to_pylist()
-                found = np.array(rtree.link_sets(raw, sizes[start : start + n], percent, rtree.Classes(n)), np.int64).reshape(-1, 2)
-                a.append(node[start + found[:, 0]])
-                b.append(node[start + found[:, 1]])
-            if a:
-                yield from common.batches_of(LINKS, {"a": np.concatenate(a), "b": np.concatenate(b)})
-
-    placed = cell_rows.join(reps.select(F.col("doc_id").alias("node"), "n", "point"), "node")
-    return placed.repartition("cell").sortWithinPartitions("cell", "n", "node").select("cell", "node", "n", "point").mapInArrow(in_cells, "a long, b long")
-
-
-def verified(rows: DataFrame, width: int, percent: int, keys: tuple[str, ...]) -> DataFrame:
+LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+Compare = Callable[[DataFrame, tuple[str, ...]], DataFrame]
+
+
+def bounded(percent: int) -> Compare:
+    """Links within the groups that keys name, as the bound allows; rows have node, known (class so far), n, point."""
+
+    def compare(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+        def in_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in runs(batches, keys):
+                at = groups_of(part, keys)
+                node, sizes, known = part["node"].to_numpy(), part["n"].to_numpy(), part["known"].to_numpy()
+                points, a, b = part["point"].combine_chunks(), [], []
+                lengths = pc.binary_length(points).to_numpy(zero_copy_only=False)
+                members = np.diff(at)
+                # groups of two sets whose points are of one shape are compared many at a time
+                first = at[:-1][members == 2]
+                own = np.array(rtree.GROUPS)[np.searchsorted(rtree.SIZES, sizes, side="right") - 1]
+                alike = (lengths[first] == own[first]) & (lengths[first + 1] == own[first]) & (own[first + 1] == own[first])
+                for length in np.unique(lengths[first[alike]]):
+                    pairs = first[alike & (lengths[first] == length)]
+                    for lo in range(0, len(pairs), 1000):
+                        i = pairs[lo : lo + 1000]
+                        p, q = (np.frombuffer(b"".join(points.take(pa.array(r)).to_pylist()), np.uint8).reshape(len(i), -1) for r in (i, i + 1))
+                        ok = np.minimum(p, q).sum(axis=1, dtype=np.int64) >= rtree.needed(sizes[i], sizes[i + 1], percent)
+                        a.append(node[i[ok]])
+                        b.append(node[i[ok] + 1])
+                for start, n in [(i, 2) for i in first[~alike]] + list(zip(at[:-1][members > 2], members[members > 2], strict=True)):
+                    classes = joined(known[start : start + n])
+                    found = np.array(rtree.link_sets(points.slice(start, n).to_pylist(), sizes[start : start + n], percent, classes), np.int64).reshape(-1, 2)
+                    a.append(node[start + found[:, 0]])
+                    b.append(node[start + found[:, 1]])
+                if a:
+                    yield from common.batches_of(LINKS, {"a": np.concatenate(a), "b": np.concatenate(b)})
+
+        return rows.repartition(*keys).sortWithinPartitions(*keys, "n", "node").select(*keys, "node", "known", "n", "point").mapInArrow(in_groups, "a long, b long")
+
+    return compare
+
+
+def joined(known: np.ndarray) -> rtree.Classes:
+    """Positions in the classes that are known."""
+    classes, first = rtree.Classes(len(known)), {}
+    for i, k in enumerate(known.tolist()):
+        classes.union(first.setdefault(k, i), i)
+    return classes
+
+
+def verified(width: int, percent: int) -> Compare:
     """True links within the groups that keys name; rows have node, known (class so far), text."""
 
-    def in_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in runs(batches, keys):
-            group = np.zeros(part.num_rows, np.int64)
-            for k in keys:
-                column = part[k].to_numpy()
-                group[1:] |= column[1:] != column[:-1]
-            at = bounds_of(np.cumsum(group))
-            a, b = [], []
-            for lo, hi in zip(at[:-1], at[1:], strict=True):
-                if hi - lo < 2:
-                    continue
-                here = part.slice(lo, hi - lo).combine_chunks()
-                sets = [x for lo_ in range(0, len(here), 250) for x in shingle_sets(common.as_bytes(here["text"].slice(lo_, 250).combine_chunks()), width)]
-                node, sizes = here["node"].to_numpy(), np.array([len(s) for s in sets], np.int64)
-                classes, first = rtree.Classes(len(node)), {}
-                for i, known in enumerate(here["known"].to_pylist()):
-                    classes.union(first.setdefault(known, i), i)
-
-                def enough(p: int, q: int, sets=sets) -> bool:
-                    both = len(np.intersect1d(sets[p], sets[q], assume_unique=True))
-                    return 100 * both >= percent * (len(sets[p]) + len(sets[q]) - both)
-
-                for p, q in rtree.link_sets([rtree.point(s) for s in sets], sizes, percent, classes, enough):
-                    a.append(node[p])
-                    b.append(node[q])
-            if a:
-                yield from common.batches_of(LINKS, {"a": a, "b": b})
-
-    return rows.repartition(*keys).sortWithinPartitions(*keys, "node").select(*keys, "node", "known", "text").mapInArrow(in_groups, "a long, b long")
-
-
-def true_links(docs: DataFrame, clusters: DataFrame, sizes: DataFrame, width: int, percent: int, block_shingles: int) -> DataFrame:
-    """The links that join clusters' true classes; clusters has (node, label)."""
-    run = W.partitionBy("label").orderBy("n", "node").rowsBetween(W.unboundedPreceding, 0)
-    placed = clusters.join(sizes.select(F.col("doc_id").alias("node"), "n"), "node").withColumn("block", F.floor(F.sum("n").over(run) / block_shingles).cast("long"))
-    placed = stage(placed, "clusters")
-    texts = docs.select(F.col("doc_id").alias("node"), "text")
-    links = stage(verified(placed.withColumn("known", F.col("node")).join(texts, "node"), width, percent, ("label", "block")), "links")
-    large = placed.groupBy("label").agg(F.max("block").alias("blocks")).filter("blocks > 0")
-    if not large.take(1):
+    def compare(rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+        def in_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in runs(batches, keys):
+                at, a, b = groups_of(part, keys), [], []
+                for lo, hi in zip(at[:-1], at[1:], strict=True):
+                    if hi - lo < 2:
+                        continue
+                    here = part.slice(lo, hi - lo).combine_chunks()
+                    sets = [x for lo_ in range(0, len(here), 250) for x in shingle_sets(common.as_bytes(here["text"].slice(lo_, 250).combine_chunks()), width)]
+                    node, sizes = here["node"].to_numpy(), np.array([len(s) for s in sets], np.int64)
+
+                    def enough(p: int, q: int, sets=sets) -> bool:
+                        both = len(np.intersect1d(sets[p], sets[q], assume_unique=True))
+                        return 100 * both >= percent * (len(sets[p]) + len(sets[q]) - both)
+
+                    for p, q in rtree.link_sets([rtree.point(s) for s in sets], sizes, percent, joined(here["known"].to_numpy()), enough):
+                        a.append(node[p])
+                        b.append(node[q])
+                if a:
+                    yield from common.batches_of(LINKS, {"a": a, "b": b})
+
+        return rows.repartition(*keys).sortWithinPartitions(*keys, "node").select(*keys, "node", "known", "text").mapInArrow(in_groups, "a long, b long")
+
+    return compare
+
+
+def largest(rows: DataFrame) -> DataFrame:
+    """(label, known, node, weight): of each block the largest class and one of its nodes."""
+    size = rows.groupBy("label", "block", "known").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("node"), F.min_by("weight", "node").alias("weight"))
+    return size.groupBy("label", "block").agg(F.max(F.struct("size", "known", "node", "weight")).alias("most")).select("label", "most.known", "most.node", "most.weight")
+
+
+def group_links(placed: DataFrame, payload: DataFrame, compare: Compare, most: int) -> DataFrame:
+    """Links (a, b) that join all nodes of a label which compare's links join.
+
+    placed: label, node, weight, blocks, block; payload: node and what compare reads.  No task
+    holds more than a block and a chunk.  Within its block a node meets all others.  Then the
+    largest classes of the blocks meet through one node each, in rounds that at least halve
+    them, and whatever is not in the label's largest class afterwards meets every block.
+    """
+    known = placed.withColumn("known", F.col("node"))
+    links = stage(compare(known.join(payload, "node"), ("label", "block")), "links")
+    spread = placed.filter("blocks > 1")
+    if not spread.take(1):
         return links
-    large = stage(large, "large")
-    spread = placed.join(large.select("label"), "label", "left_semi")
+    spread = stage(spread, "spread")
 
-    def classed(links: DataFrame) -> DataFrame:
+    def classed(rows: DataFrame) -> DataFrame:
         found = components(links).withColumnRenamed("label", "known")
-        return stage(spread.join(found, "node", "left").withColumn("known", F.coalesce("known", "node")), "known")
-
-    known = classed(links)
-    size = known.groupBy("label", "block", "known").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("node"))
-    heads = size.groupBy("label", "block").agg(F.max(F.struct("size", "known", "node")).alias("most")).select("label", "most.known", "most.node")
-    links = stage(links.unionByName(verified(heads.join(texts, "node"), width, percent, ("label",))), "links")
-    known = classed(links)
-    most = known.groupBy("label", "known").agg(F.count(F.lit(1)).alias("size")).groupBy("label").agg(F.max(F.struct("size", "known")).alias("most")).select("label", F.col("most.known").alias("giant"))
-    rest = known.join(most, "label").filter("known <> giant").select("label", "node", "known", "n")
-    rest = rest.withColumn("chunk", F.floor(F.sum("n").over(run) / block_shingles).cast("long"))
-    rest = stage(rest, "rest")
-    chunks = rest.select("label", "chunk").distinct()
-    blocks = known.join(chunks, "label").select("label", "block", "chunk", "node", "known")
-    others = rest.join(large, "label").select("label", F.explode(F.sequence(F.lit(0).cast("long"), "blocks")).alias("block"), "chunk", "node", "known")
+        return stage(rows.drop("known").join(found, "node", "left").withColumn("known", F.coalesce("known", "node")), "known")
+
+    known = classed(spread)
+    heads = largest(known)
+    while True:
+        heads = stage(dealt(heads, most, at_most_half=True), "heads")
+        links = stage(links.unionByName(compare(heads.join(payload, "node"), ("label", "block"))), "links")
+        if not heads.filter("blocks > 1").take(1):
+            break
+        heads = largest(classed(heads))
+    known = classed(spread)
+    giant = known.groupBy("label", "known").agg(F.count(F.lit(1)).alias("size")).groupBy("label").agg(F.max(F.struct("size", "known")).alias("most")).select("label", F.col("most.known").alias("giant"))
+    rest = known.join(giant, "label").filter("known <> giant").select("label", "node", "known", "weight")
+    rest = stage(dealt(rest, most).select("label", "node", "known", F.col("block").alias("chunk")), "rest")
+    blocks = known.join(rest.select("label", "chunk").distinct(), "label").select("label", "block", "chunk", "node", "known")
+    others = rest.join(spread.select("label", "blocks").distinct(), "label").select("label", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "chunk", "node", "known")
     pairs = blocks.unionByName(others).distinct()
-    return links.unionByName(verified(pairs.join(texts, "node"), width, percent, ("label", "block", "chunk")))
+    return links.unionByName(compare(pairs.join(payload, "node"), ("label", "block", "chunk")))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
@@ -286,11 +317,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = thin.filter("doc_id is not null and n > 0")
     first = stage(named.groupBy("n", "c1", "c2").agg(F.min("doc_id").alias("rep")), "representatives")
     reps = sets.join(first.select("n", "c1", "c2", F.col("rep").alias("doc_id")), ["doc_id", "n", "c1", "c2"], "left_semi").dropDuplicates(["doc_id", "c1", "c2"])
-    cell_rows = stage(cells(reps), "cells")
-    edges = stage(candidates(cell_rows, reps.select("doc_id", "n", "point"), percent), "candidates")
-    clusters = components(edges)
-    sizes = reps.groupBy("doc_id").agg(F.max("n").alias("n"))
-    found = components(true_links(docs, clusters, sizes, width, percent, block_shingles))
+    points = reps.select(F.col("doc_id").alias("node"), "n", "point")
+    clusters = components(group_links(stage(cells(reps), "cells"), points, bounded(percent), CELL_SETS))
+    sizes = reps.groupBy(F.col("doc_id").alias("node")).agg(F.max("n").alias("weight"))
+    placed = stage(dealt(clusters.join(sizes, "node"), block_shingles), "clusters")
+    texts = docs.select(F.col("doc_id").alias("node"), "text")
+    found = components(group_links(placed, texts, verified(width, percent), block_shingles))
     labelled = first.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("n", "c1", "c2", F.coalesce("label", "rep").alias("component"))
     out = thin.join(labelled, ["n", "c1", "c2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))

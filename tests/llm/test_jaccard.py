@@ -109,3 +109,12 @@ def test_tree_misses_nothing(scale):
             if enough(i, j):
                 want.union(i, j)
     assert [got.find(i) for i in range(len(sets))] == [want.find(i) for i in range(len(sets))]
+
+
+@pytest.mark.parametrize("most", [2, 5])
+def test_cells_of_several_blocks(spark, monkeypatch, most):
+    """Cells larger than a block lose no link, neither near copies nor unlike sets that share a shingle."""
+    monkeypatch.setattr(jaccard, "CELL_SETS", most)
+    rows = sample(5, bases=4, copies=12) + [(2 * 10**7 + i, f"one rare shingle shared {i} by sets like no other {i * 7}", 1, "") for i in range(12)]
+    out = jaccard.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(4), width=4, percent=85)
+    assert sorted((tuple(r) for r in out.collect()), key=str) == brute(rows, 4, 85)
