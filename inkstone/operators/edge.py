@@ -19,6 +19,7 @@ from inkstone.operators import lines as L
 # fixed values
 ROW_TOLERANCE = 3.5
 COLUMN_TOLERANCE, COLUMN_SHARE = 16.0, 0.65
+INDENT, DEEPEST = 22.0, 3
 
 
 def grouped_rows(lines: DataFrame, tolerance: float = ROW_TOLERANCE) -> DataFrame:
@@ -75,7 +76,10 @@ def has_header(rows: list[list[str]]) -> bool:
     return first <= 0.35 and numeric([c for row in rows[1:5] for c in row]) >= first and all(len(c) <= 50 for c in rows[0])
 
 
-ELEMENTS = "doc_id long, ord int, page_num int, elem_type string, text string, n_items int, cells array<struct<row_no:int,col_no:int,type:string,text:string>>"
+ELEMENTS = (
+    "doc_id long, ord int, page_num int, elem_type string, text string, n_items int, cells array<struct<row_no:int,col_no:int,type:string,text:string>>, "
+    "items array<struct<text:string,depth:int>>, of_pairs boolean"
+)
 
 
 def documents(lines: DataFrame, ratio: float = 0.5, group: str = "doc_id") -> DataFrame:
@@ -83,7 +87,8 @@ def documents(lines: DataFrame, ratio: float = 0.5, group: str = "doc_id") -> Da
 
     What a line is by itself comes from column rules; runs of rows, pairs and items, which
     depend on where the last run ended, are walked a document at a time.  Tables carry their
-    cells, TH or TD.
+    cells, TH or TD, and whether pairs made them; lists their items without marks, and how
+    deep these lie: by their number or by how far they are set in, 3 at most.
     """
     if "bold" not in lines.columns:
         lines = lines.withColumn("bold", F.lit(False))
@@ -104,7 +109,7 @@ def documents(lines: DataFrame, ratio: float = 0.5, group: str = "doc_id") -> Da
     rows = lines.join(running, ["doc_id", "page_num", "line_index"], "left").join(scores, ["doc_id", "page_num", "line_index"])
     rows = rows.select(
         "doc_id", "page_num", "line_index", "text", "x", "font_size", "bold", "gap_before", F.coalesce("running", F.lit(False)).alias("running"), T.edge_is_signature(t).alias("signature"), T.edge_is_row(t).alias("text_row"), alone.alias("alone"), (alone | same_columns(F.col("cell_xs"), follows)).alias("row"), cells.alias("cells"), (given > 1).alias("parted"),
-        pair.alias("pair"), halves.alias("halves"), T.edge_is_numbered(t).alias("numbered"), "level", F.length("text").alias("n"), F.percentile("font_size", 0.5).over(W.partitionBy("doc_id", "page_num")).alias("body"),
+        pair.alias("pair"), halves.alias("halves"), T.edge_is_numbered(t).alias("numbered"), T.edge_unmarked(t).alias("unmarked"), T.edge_depth(t).alias("depth"), "level", F.length("text").alias("n"), F.percentile("font_size", 0.5).over(W.partitionBy("doc_id", "page_num")).alias("body"),
     )
     short = (F.col("n").between(2, 55)) & ~F.col("numbered") & ~F.col("pair") & ~F.col("alone") & ~F.col("parted") & (F.col("font_size") < F.col("body") + 1.5) & ~(F.col("bold") & (F.col("gap_before") >= F.col("body") * 1.25))
     rows = rows.withColumn("short", short)
@@ -125,7 +130,7 @@ def _build(pdf: pd.DataFrame) -> pd.DataFrame:
     cell = lambda r, c, head, text: {"row_no": r, "col_no": c, "type": "TH" if head else "TD", "text": text}
     for page, part in pdf.sort_values(["page_num", "line_index"]).groupby("page_num", sort=True):
         b, i = list(part.itertuples(index=False)), 0
-        add = lambda kind, text="", items=0, cells=None, page=page: out.append((pdf["doc_id"].iloc[0], len(out), page, kind, text, items, cells))
+        add = lambda kind, text="", n=0, cells=None, items=None, pairs=False, page=page: out.append((pdf["doc_id"].iloc[0], len(out), page, kind, text, n, cells, items, pairs))
         while i < len(b):
             line = b[i]
             if line.running:
@@ -140,33 +145,40 @@ def _build(pdf: pd.DataFrame) -> pd.DataFrame:
             table = [list(x.cells) for x in b[i:end] if len(x.cells) >= 2]
             if len(table) >= 2 and sum(abs(len(r) - len(table[0])) <= 1 for r in table) >= math.ceil(0.6 * len(table)):
                 head = has_header(table)
-                add("Table", items=len(table), cells=[cell(r, c, head and r == 0, x) for r, row in enumerate(table) for c, x in enumerate(row)])
+                add("Table", n=len(table), cells=[cell(r, c, head and r == 0, x) for r, row in enumerate(table) for c, x in enumerate(row)])
                 i = end
                 continue
             end = _stretch(b, i, lambda j: b[j].pair)
             if end - i >= 3:
-                add("Table", items=end - i, cells=[cell(r, c, c == 0, x) for r, line in enumerate(b[i:end]) for c, x in enumerate(line.halves)])
+                add("Table", n=end - i, cells=[cell(r, c, c == 0, x) for r, line in enumerate(b[i:end]) for c, x in enumerate(line.halves)], pairs=True)
                 i = end
                 continue
-            end = _items(b, i)
+            end, marked = _items(b, i)
             if end - i >= 2:
-                add("L", items=end - i)
+                add("L", n=end - i, items=[{"text": x.unmarked, "depth": _depth(x, line.x)} if marked else {"text": x.text, "depth": 1} for x in b[i:end]])
                 i = end
                 continue
             add("P" if pd.isna(line.level) else f"H{int(line.level)}", line.text)
             i += 1
-    return pd.DataFrame(out, columns=[c.split()[0] for c in ELEMENTS.split(", ")])
+    return pd.DataFrame(out, columns=["doc_id", "ord", "page_num", "elem_type", "text", "n_items", "cells", "items", "of_pairs"])
 
 
-def _items(b: list, i: int) -> int:
-    """End of the list that starts at i: short lines in one column, else numbered items with tails."""
+def _depth(line, x: float) -> int:
+    """How deep an item lies whose list starts at x."""
+    inset = min(max(math.floor((line.x - x) / INDENT + 0.5) + 1, 1), DEEPEST)
+    return max(inset, int(line.depth)) if line.numbered else inset
+
+
+def _items(b: list, i: int) -> tuple[int, bool]:
+    """End of the list that starts at i, and whether its items bear marks: short lines in one
+    column, else numbered items with tails."""
     first = b[i]
     expected = max(first.gap_before or first.body * 1.2, first.body * 0.9)
     near = lambda j: b[j].short and (j == i or (abs(b[j].x - first.x) <= 18 and abs(b[j].n - first.n) <= 28 and not (b[j].gap_before and abs(b[j].gap_before - expected) > first.body * 0.9)))
     end = _stretch(b, i, near)
     if end - i >= 3:
-        return end
-    return _stretch(b, i, lambda j: b[j].numbered or (j - i >= 2 and b[j].n <= 45 and abs(b[j].x - first.x) <= 18 and abs(b[j].n - first.n) <= 25))
+        return end, False
+    return _stretch(b, i, lambda j: b[j].numbered or (j - i >= 2 and b[j].n <= 45 and abs(b[j].x - first.x) <= 18 and abs(b[j].n - first.n) <= 25)), True
 
 
 def _clamped(elements: DataFrame) -> DataFrame:
@@ -188,9 +200,9 @@ def _promoted(elements: DataFrame) -> DataFrame:
 def counters(elements: DataFrame) -> DataFrame:
     """Elements by kind per document, as the summary reports them."""
     of = lambda *kinds: F.count_if(F.col("elem_type").isin(*kinds))
-    return elements.groupBy("doc_id").agg(of("Table").alias("tables"), of("L").alias("lists"), of("H1", "H2", "H3").alias("headings"), of("Artifact").alias("artifacts"), of("Figure").alias("signatures"))
+    return elements.groupBy("doc_id").agg(of("Table").alias("tables"), of("L").alias("lists"), of("H1", "H2", "H3").alias("headings"), of("Artifact").alias("artifacts"), of("Figure").alias("signatures"), F.count_if("of_pairs").alias("pair_tables"))
 
 
 def summary(counters: DataFrame, rates: DataFrame) -> DataFrame:
     """The stored scan summary of each document as JSON: counters and the score of its checks."""
-    return counters.join(rates, "doc_id").select("doc_id", F.to_json(F.struct("score", "passed", "tables", "lists", "headings", "artifacts", "signatures")).alias("scan_summary"))
+    return counters.join(rates, "doc_id").select("doc_id", F.to_json(F.struct("score", "passed", "tables", "lists", "headings", "artifacts", "signatures", "pair_tables")).alias("scan_summary"))

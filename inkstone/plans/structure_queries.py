@@ -129,6 +129,7 @@ def edge_rows(spark, sf_dir):
 
 QUERIES = {
     "structure_detection": structure_detection,
+    "table_cells": lambda s, d: detect.table_cells(bridge.blocks(s, d)),
     "edge_documents": edge_documents,
     "edge_counters": lambda s, d: edge.counters(edge_documents(s, d)),
     "edge_rows": edge_rows,

@@ -35,6 +35,19 @@ def test_positioned_pairs_are_header_cells(spark):
     assert table(got[0])[:2] == [(0, 0, "TH", "name"), (0, 1, "TD", long)]
 
 
+def test_items_have_depth_and_no_marks(spark):
+    rows = [(1, 1, i, t, x, 700.0 - 12 * i, 300.0, 12.0, False, 0.0) for i, (t, x) in enumerate([("1. first item of the list", 10.0), ("1.1 an item below the first", 10.0), ("(2) an item set in by far", 60.0), ("a) an item set in a little", 20.0)])]
+    got = edge.documents(spark.createDataFrame(rows, SCHEMA + ", gap_before double")).collect()
+    assert [(e.elem_type, e.n_items, e.of_pairs) for e in got] == [("L", 4, False)]
+    assert [(x.text, x.depth) for x in got[0]["items"]] == [("first item of the list", 1), ("an item below the first", 2), ("an item set in by far", 3), ("an item set in a little", 1)]
+
+
+def test_pair_tables_are_counted(spark):
+    rows = [(1, 1, i, t, 10.0, 700.0 - 12 * i, 300.0, 12.0, False, 0.0) for i, t in enumerate(["Name: x", "Town: y", "Date: z"])]
+    got = edge.counters(edge.documents(spark.createDataFrame(rows, SCHEMA + ", gap_before double"))).first()
+    assert (got.tables, got.pair_tables, got.lists) == (1, 1, 0)
+
+
 def test_same_columns(spark):
     cases = [([0.0, 50.0], [16.0, 66.0], True), ([0.0, 50.0], [17.0, 50.0], False), ([0.0, 50.0, 90.0], [0.0, 50.0], True), ([0.0, 1.0, 2.0, 3.0], [0.0, 1.0], False), ([0.0], [0.0], False), (None, [0.0, 1.0], False), ([0.0, 50.0, 90.0], [0.0, 50.0, 190.0], True)]
     frame = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(cases)], "i int, a array<double>, b array<double>")

@@ -137,6 +137,13 @@ def test_detection_routes(spark, blocks):
     assert two[1:3] == [("H1", "1. first thing"), ("H1", "2. second thing")]
 
 
+def test_cells_of_detected_tables(spark, blocks):
+    rows = [block(1, 10, 300, "b"), block(2, 10, 100, "a"), block(3, 30, 300, " d "), block(4, 30, 100, "c"), block(5, 200, text="Name: x"), block(6, 220, text="Town: y"), block(7, 240, text="Date: z")]
+    got = sorted((r.table_no, r.source, r.row_no, r.col_no, r.role, r.scope, r.text) for r in detect.table_cells(blocks(rows)).fillna("", ["scope"]).collect())
+    assert got[:4] == [(1, "align", 1, 1, "TH", "Col", "b"), (1, "align", 1, 2, "TH", "Col", "a"), (1, "align", 2, 1, "TD", "", "d"), (1, "align", 2, 2, "TD", "", "c")]
+    assert got[4:] == [(2, "keyvalue", i + 1, c, role, scope, t) for i, pair in enumerate([("Name", "x"), ("Town", "y"), ("Date", "z")]) for c, role, scope, t in [(1, "TH", "Row", pair[0]), (2, "TD", "", pair[1])]]
+
+
 def test_type_scores(spark):
     words = "פרוטוקול נוכחים החלטה ועדה".split()
     rows = [(1, 1, i, w) for i, w in enumerate(words)] + [(2, 1, i, f"{i + 1}. סעיף {i}") for i in range(5)] + [(3, 1, i, "plain words") for i in range(5)] + [(4, 1, 0, "only one")]
