@@ -7,6 +7,9 @@ bold, gap_before, and where rows were grouped cell_texts and cell_xs.
 from __future__ import annotations
 
 import math
+from collections import Counter
+from itertools import groupby
+from operator import attrgetter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -15,6 +18,7 @@ from pyspark.sql import functions as F
 
 from inkstone.functions import text as T
 from inkstone.operators import lines as L
+from inkstone.operators.walk import by_document
 
 # fixed values
 ROW_TOLERANCE = 3.5
@@ -86,35 +90,47 @@ def documents(lines: DataFrame, ratio: float = 0.5, group: str = "doc_id") -> Da
     """Top-level elements of the edge profile's documents, heading levels clamped.
 
     What a line is by itself comes from column rules; runs of rows, pairs and items, which
-    depend on where the last run ended, are walked a document at a time.  Tables carry their
-    cells, TH or TD, and whether pairs made them; lists their items without marks, and how
-    deep these lie: by their number or by how far they are set in, 3 at most.
+    depend on where the last run ended, are walked a document at a time, in one pass over lines
+    that are dealt out by document once.  Tables carry their cells, TH or TD, and whether pairs
+    made them; lists their items without marks, and how deep these lie: by their number or by
+    how far they are set in, 3 at most.  Lines without a document, page or place are left out.
     """
     if "bold" not in lines.columns:
         lines = lines.withColumn("bold", F.lit(False))
     for name, kind in (("cell_texts", "array<string>"), ("cell_xs", "array<double>")):
         if name not in lines.columns:
             lines = lines.withColumn(name, F.lit(None).cast(kind))
-    t = F.col("text")
-    running = L.edge_lines(lines).withColumn("key", T.repeat_key(t)).join(L.repeated_lines(lines, ratio, group).select(group, "key"), [group, "key"], "left_semi").select("doc_id", "page_num", "line_index", F.lit(True).alias("running"))
-    scores = L.heading_scores(lines)
+    place = ["doc_id", "page_num", "line_index"]
+    lines = lines.filter(" and ".join(f"{c} is not null" for c in place))
+    t, c = F.col("text"), F.col("clean")
+    own = group == "doc_id"  # running lines are then told in the walk, which has the whole document
+    if own:
+        lines = lines.withColumn("running", F.lit(False))
+    else:
+        running = L.edge_lines(lines).withColumn("key", T.repeat_key(t)).join(L.repeated_lines(lines, ratio, group).select(group, "key"), [group, "key"], "left_semi").select(*place, F.lit(True).alias("running"))
+        lines = lines.join(running, place, "left").withColumn("running", F.coalesce("running", F.lit(False)))
+    rows = L.with_scores(lines.repartition("doc_id"))
+    page, doc = W.partitionBy("doc_id", "page_num"), W.partitionBy("doc_id")
+    rows = rows.withColumn("follows", F.lead("cell_xs").over(page.orderBy("line_index"))).withColumn("on_page", F.count(F.lit(1)).over(page)).withColumn("pages", F.when(F.min("page_num").over(doc) == F.max("page_num").over(doc), 1).otherwise(2))
+    edge = (F.col("up") <= 3) | (F.col("on_page") - F.col("up") < 3)
+    key = F.when(F.lit(own) & (F.col("pages") > 1) & edge & ((F.length(c) <= 120) | c.rlike("[0-9]")), T.repeat_key(t, c))
     given = F.coalesce(F.size("cell_texts"), F.lit(0))
-    cells = F.when(given >= 2, F.filter(F.transform("cell_texts", T.clean), lambda c: c != "")).otherwise(T.edge_cells(t))
-    alone = (F.size(cells) >= 3) | ((F.size(cells) >= 2) & F.forall(cells, lambda c: F.length(c) <= 50)) | T.edge_is_row(t)
-    follows = F.lead("cell_xs").over(W.partitionBy("doc_id", "page_num").orderBy("line_index"))
     two = given == 2
-    pair = (two & (F.length(F.get("cell_texts", F.lit(0))) <= 42) & (F.length(F.get("cell_texts", F.lit(1))) > 0)) | T.edge_is_key_value(t)
-    key, value = (F.regexp_extract(T.clean(t), T.EDGE_KEY_AND_VALUE, i) for i in (1, 2))
-    halves = F.when(two, F.transform("cell_texts", T.clean)).when(key != "", F.array(F.btrim(key), F.btrim(value))).otherwise(F.array(T.clean(t), F.lit("")))
-    rows = lines.join(running, ["doc_id", "page_num", "line_index"], "left").join(scores, ["doc_id", "page_num", "line_index"])
+    pair = (two & (F.length(F.get("cell_texts", F.lit(0))) <= 42) & (F.length(F.get("cell_texts", F.lit(1))) > 0)) | F.col("key_value")
+    rows = rows.withColumns({"key": key, "pair": pair, "cells": F.when(given >= 2, F.filter(F.transform("cell_texts", T.clean), lambda x: x != "")).otherwise(F.col("found_cells"))})
+    rows = rows.withColumn("alone", (F.size("cells") >= 3) | ((F.size("cells") >= 2) & F.forall("cells", lambda x: F.length(x) <= 50)) | F.col("text_row"))
+    rows = rows.withColumn("row", F.col("alone") | same_columns(F.col("cell_xs"), F.col("follows")))
+    left, right = (F.regexp_extract(c, T.EDGE_KEY_AND_VALUE, i) for i in (1, 2))
+    halves = F.when(two, F.transform("cell_texts", T.clean)).when(left != "", F.array(F.btrim(left), F.btrim(right))).otherwise(F.array(c, F.lit("")))
+    n = F.length(t)
+    short = (n.between(2, 55)) & ~F.col("numbered") & ~F.col("pair") & ~F.col("alone") & ~(given > 1) & (F.col("font_size") < F.col("body") + 1.5) & ~(F.col("bold") & (F.col("gap_before") >= F.col("body") * 1.25))
     rows = rows.select(
-        "doc_id", "page_num", "line_index", "text", "x", "font_size", "bold", "gap_before", F.coalesce("running", F.lit(False)).alias("running"), T.edge_is_signature(t).alias("signature"), T.edge_is_row(t).alias("text_row"), alone.alias("alone"), (alone | same_columns(F.col("cell_xs"), follows)).alias("row"), cells.alias("cells"), (given > 1).alias("parted"),
-        pair.alias("pair"), halves.alias("halves"), T.edge_is_numbered(t).alias("numbered"), T.edge_unmarked(t).alias("unmarked"), T.edge_depth(t).alias("depth"), "level", F.length("text").alias("n"), F.percentile("font_size", 0.5).over(W.partitionBy("doc_id", "page_num")).alias("body"),
+        *place, "text", F.col("x").cast("double").alias("x"), F.col("gap_before").cast("double").alias("gap_before"), "running", F.when(F.length("key").between(4, 120), F.col("key")).alias("key"), T.edge_is_signature(t, c).alias("signature"), "text_row", "row", F.when(F.col("row"), F.col("cells")).alias("cells"),
+        "pair", F.when(F.col("pair"), halves).alias("halves"), "numbered", F.when(F.col("numbered") | (n <= 45), T.edge_unmarked(t, c)).alias("unmarked"), F.when(F.col("numbered"), T.edge_depth(t)).alias("depth"), "level", n.cast("double").alias("n"), "body", short.alias("short"),
     )
-    short = (F.col("n").between(2, 55)) & ~F.col("numbered") & ~F.col("pair") & ~F.col("alone") & ~F.col("parted") & (F.col("font_size") < F.col("body") + 1.5) & ~(F.col("bold") & (F.col("gap_before") >= F.col("body") * 1.25))
-    rows = rows.withColumn("short", short)
-    built = rows.groupBy("doc_id").applyInPandas(_build, ELEMENTS)
-    return _promoted(_clamped(built))
+    kinds = dict(rows.dtypes)
+    schema = ELEMENTS.replace("doc_id long", f"doc_id {kinds['doc_id']}").replace("page_num int", f"page_num {kinds['page_num']}")
+    return by_document(rows, place[1:], lambda document: _build(document, ratio), schema, dealt=True)
 
 
 def _stretch(b: list, i: int, test) -> int:
@@ -125,15 +141,25 @@ def _stretch(b: list, i: int, test) -> int:
     return j
 
 
-def _build(pdf: pd.DataFrame) -> pd.DataFrame:
-    out = []
+def _running(document: list, ratio: float) -> set[str]:
+    """Keys at the edges of enough pages of a document, as lines.repeated_lines has them."""
+    found = {(line.page_num, line.key) for line in document if line.key is not None}
+    if not found:
+        return set()
+    least = max(2, math.ceil(len({line.page_num for line in document}) * ratio))
+    return {key for key, pages in Counter(key for _, key in found).items() if pages >= least}
+
+
+def _build(document: list, ratio: float) -> list[tuple]:
+    """(ord, page_num, elem_type, text, n_items, cells, items, of_pairs) of a document's lines."""
+    out, repeated = [], _running(document, ratio)
     cell = lambda r, c, head, text: {"row_no": r, "col_no": c, "type": "TH" if head else "TD", "text": text}
-    for page, part in pdf.sort_values(["page_num", "line_index"]).groupby("page_num", sort=True):
-        b, i = list(part.itertuples(index=False)), 0
-        add = lambda kind, text="", n=0, cells=None, items=None, pairs=False, page=page: out.append((pdf["doc_id"].iloc[0], len(out), page, kind, text, n, cells, items, pairs))
+    for page, part in groupby(document, key=attrgetter("page_num")):
+        b, i = list(part), 0
+        add = lambda kind, text="", n=0, cells=None, items=None, pairs=False, page=page: out.append((page, kind, text, n, cells, items, pairs))
         while i < len(b):
             line = b[i]
-            if line.running:
+            if line.running or line.key in repeated:
                 add("Artifact", line.text)
                 i += 1
                 continue
@@ -142,7 +168,7 @@ def _build(pdf: pd.DataFrame) -> pd.DataFrame:
                 i += 2 if i + 1 < len(b) and b[i + 1].n <= 80 and not b[i + 1].text_row else 1
                 continue
             end = _stretch(b, i, lambda j: b[j].row)
-            table = [list(x.cells) for x in b[i:end] if len(x.cells) >= 2]
+            table = [x.cells for x in b[i:end] if len(x.cells) >= 2]
             if len(table) >= 2 and sum(abs(len(r) - len(table[0])) <= 1 for r in table) >= math.ceil(0.6 * len(table)):
                 head = has_header(table)
                 add("Table", n=len(table), cells=[cell(r, c, head and r == 0, x) for r, row in enumerate(table) for c, x in enumerate(row)])
@@ -158,9 +184,25 @@ def _build(pdf: pd.DataFrame) -> pd.DataFrame:
                 add("L", n=end - i, items=[{"text": x.unmarked, "depth": _depth(x, line.x)} if marked else {"text": x.text, "depth": 1} for x in b[i:end]])
                 i = end
                 continue
-            add("P" if pd.isna(line.level) else f"H{int(line.level)}", line.text)
+            add("P" if line.level is None else f"H{line.level}", line.text)
             i += 1
-    return pd.DataFrame(out, columns=["doc_id", "ord", "page_num", "elem_type", "text", "n_items", "cells", "items", "of_pairs"])
+    return [(i, *x) for i, x in enumerate(_headed(out))]
+
+
+def _headed(elements: list[tuple]) -> list[tuple]:
+    """Heading levels as structure.clamped_headings has them; in documents without a heading the
+    first paragraph of at most 100 characters becomes one."""
+    out, last = [], 0
+    for page, kind, *rest in elements:
+        if kind in ("H1", "H2", "H3"):
+            last = min(int(kind[1]), last + 1, 3)
+            kind = f"H{last}"
+        out.append((page, kind, *rest))
+    if not last:
+        first = next((i for i, x in enumerate(out) if x[1] == "P" and x[2] and len(x[2]) <= 100), None)
+        if first is not None:
+            out[first] = (out[first][0], "H1", *out[first][2:])
+    return out
 
 
 def _depth(line, x: float) -> int:
@@ -181,22 +223,6 @@ def _items(b: list, i: int) -> tuple[int, bool]:
     return _stretch(b, i, lambda j: b[j].numbered or (j - i >= 2 and b[j].n <= 45 and abs(b[j].x - first.x) <= 18 and abs(b[j].n - first.n) <= 25)), True
 
 
-def _clamped(elements: DataFrame) -> DataFrame:
-    from inkstone.operators.structure import clamped_headings
-
-    levels = clamped_headings(elements).select("doc_id", "ord", "clamped")
-    return elements.join(levels, ["doc_id", "ord"], "left").withColumn("elem_type", F.coalesce(F.concat(F.lit("H"), F.col("clamped").cast("string")), "elem_type")).drop("clamped")
-
-
-def _promoted(elements: DataFrame) -> DataFrame:
-    """In documents without a heading the first paragraph of at most 100 characters becomes one."""
-    heads = F.count_if(F.col("elem_type").isin("H1", "H2", "H3")).over(W.partitionBy("doc_id"))
-    fits = (F.col("elem_type") == "P") & F.length("text").between(1, 100)
-    first = F.min(F.when(fits, F.col("ord"))).over(W.partitionBy("doc_id"))
-    rows = elements.withColumn("h", heads).withColumn("first", first)
-    return rows.withColumn("elem_type", F.when((F.col("h") == 0) & (F.col("ord") == F.col("first")), "H1").otherwise(F.col("elem_type"))).drop("h", "first")
-
-
 def counters(elements: DataFrame) -> DataFrame:
     """Elements by kind per document, as the summary reports them."""
     of = lambda *kinds: F.count_if(F.col("elem_type").isin(*kinds))

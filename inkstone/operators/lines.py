@@ -50,34 +50,48 @@ def heading_scores(lines: DataFrame) -> DataFrame:
 
     lines: doc_id, page_num, line_index, text, width, font_size, gap_before and optionally bold.
     """
+    return with_scores(lines).select("doc_id", "page_num", "line_index", "score", "level")
+
+
+def with_scores(lines: DataFrame) -> DataFrame:
+    """lines with score and level, by windows over one exchange, and what these are made from: clean,
+    found_cells, text_row, numbered, key_value, body (the page's median size) and up (place on the page).
+
+    Neighbours are looked at by their lengths, so that texts aren't copied from row to row; tests
+    of a text stand behind those of its length.
+    """
     if "bold" not in lines.columns:
         lines = lines.withColumn("bold", F.lit(False))
     by_line = W.partitionBy("doc_id", "page_num").orderBy("line_index")
     page = W.partitionBy("doc_id", "page_num")
-    t = T.clean(F.col("text"))
-    rows = lines.select("*", t.alias("t"), F.lag("text").over(by_line).alias("prev"), F.lead("text").over(by_line).alias("next"), F.lead("gap_before").over(by_line).alias("next_gap"), F.percentile("font_size", 0.5).over(page).alias("body"))
-    t, n = F.col("t"), F.length("t")
+    text, t = F.col("text"), F.col("clean")
+    rows = lines.withColumn("clean", T.cleaned(text)).withColumn("__blank", F.coalesce(t == "", F.lit(True)))
+    rows = rows.withColumns({"up": F.row_number().over(by_line), "__first": F.coalesce(F.lag("__blank").over(by_line), F.lit(True)), "__last": F.coalesce(F.lead("__blank").over(by_line), F.lit(True)), "__next": F.lead(F.length(text)).over(by_line), "__next_gap": F.lead("gap_before").over(by_line)})
+    rows = rows.withColumn("body", F.percentile("font_size", 0.5).over(page))
+    rows = rows.withColumns({"found_cells": T.edge_cells(text, t), "numbered": T.edge_is_numbered(text), "key_value": T.edge_is_key_value(text, t)})
+    rows = rows.withColumn("text_row", T.edge_is_row(text, F.col("found_cells")))
+    n = F.length(t)
     add = lambda points, test: F.when(F.coalesce(test, F.lit(False)), float(points)).otherwise(0.0)
     score = (
         add(1, n <= 70)
         + add(1, ~t.rlike(r"[.!?]$"))
         + add(1, t.rlike(r"^[0-9]+(?:\.[0-9]+){0,2}" + T.WS + "+" + T.NWS))
         + add(1, F.col("line_index") <= 4)
-        + add(1, F.col("prev").isNull() | (T.clean(F.col("prev")) == ""))
-        + add(1, F.col("next").isNull() | (T.clean(F.col("next")) == "") | (F.length("next") > n + 20))
+        + add(1, F.col("__first"))
+        + add(1, F.col("__last") | (F.col("__next") > n + 20))
         + add(0.5, t.rlike(r"[:\x{FF1A}]$"))
         + add(2, F.col("font_size") >= F.col("body") + 1.5)
         + add(1, F.col("font_size") >= F.col("body") + 3)
         + add(1.5, F.col("bold"))
         + add(1.5, (F.col("gap_before") > 0) & (F.col("gap_before") >= F.col("body") * 1.35))
-        + add(0.75, F.col("next_gap") >= F.col("body") * 1.05)
+        + add(0.75, F.col("__next_gap") >= F.col("body") * 1.05)
         + add(0.75, (F.col("width") > 0) & (F.col("width") < 430) & (n <= 80))
     )
-    out = (t == "") | (n > 95) | T.edge_is_numbered(t) | T.edge_is_key_value(t) | T.edge_is_row(t)
+    out = (t == "") | (n > 95) | F.col("numbered") | F.col("key_value") | F.col("text_row")
     threshold = F.when((F.col("font_size") > F.col("body")) | F.col("bold"), 3.5).otherwise(4.25)
     level = F.when((F.col("line_index") <= 4) | (F.col("font_size") >= F.col("body") + 4), 1).when((F.col("font_size") >= F.col("body") + 2) | F.col("bold"), 2).otherwise(3)
     rows = rows.withColumn("score", F.when(out, 0.0).otherwise(score))
-    return rows.select("doc_id", "page_num", "line_index", "score", F.when(F.col("score") >= threshold, level).alias("level"))
+    return rows.withColumn("level", F.when(F.col("score") >= threshold, level)).drop("__blank", "__first", "__last", "__next", "__next_gap")
 
 
 def document_quality(documents: DataFrame) -> DataFrame:
