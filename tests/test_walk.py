@@ -22,6 +22,13 @@ def test_edge_documents_deal_out_lines_once(spark):
     assert said.split("== Physical Plan ==")[1].count("Exchange") == 1 and "Join" not in said and "FlatMapGroups" not in said
 
 
+def test_edge_counters_add_no_join(spark):
+    df = edge.counters(edge.documents(bridge.text_lines(paged(spark))))
+    said = df._jdf.queryExecution().toString()
+    assert "Join" not in said and "FlatMapGroups" not in said
+    assert {r.doc_id: (r.artifacts, r.headings) for r in df.collect()}[1] == (4, 1)
+
+
 @pytest.mark.parametrize("rows", [7, 10000])
 def test_running_lines_of_documents_that_batches_part(spark, rows):
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
