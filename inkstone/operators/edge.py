@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
 from itertools import groupby
 from operator import attrgetter
 
@@ -84,9 +85,17 @@ ELEMENTS = (
     "doc_id long, ord int, page_num int, elem_type string, text string, n_items int, cells array<struct<row_no:int,col_no:int,type:string,text:string>>, "
     "items array<struct<text:string,depth:int>>, of_pairs boolean"
 )
+COUNTERS = "doc_id long, tables long, lists long, headings long, artifacts long, signatures long, pair_tables long"
 
 
-def documents(lines: DataFrame, ratio: float = 0.5, group: str = "doc_id") -> DataFrame:
+PLACE = ("doc_id", "page_num", "line_index")
+
+#: What the walk asks of each line but for texts, and what that is made from once lines are dealt out.
+WALKED = ("signature", "text_row", "row", "n_cells", "pair", "numbered", "level", "body", "short")
+HANDED_ON = (*PLACE, "running", "x", "gap_before", "width", "font_size", "bold", "cell_xs", "signature", "text_row", "alone", "many", "n_cells", "pair", "numbered", "__n", "__length", "__points")
+
+
+def documents(lines: DataFrame, ratio: float = 0.5, group: str = "doc_id", clean: bool = False) -> DataFrame:
     """Top-level elements of the edge profile's documents, heading levels clamped.
 
     What a line is by itself comes from column rules; runs of rows, pairs and items, which
@@ -94,43 +103,81 @@ def documents(lines: DataFrame, ratio: float = 0.5, group: str = "doc_id") -> Da
     that are dealt out by document once.  Tables carry their cells, TH or TD, and whether pairs
     made them; lists their items without marks, and how deep these lie: by their number or by
     how far they are set in, 3 at most.  Lines without a document, page or place are left out.
+    clean: texts are clean already.
     """
+    t, c = F.col("text"), F.col("clean")
+    own = group == "doc_id"
+    rows = _placed(_told(_taken(lines, ratio, group).repartition("doc_id"), clean), _may_run(c), own)
+    left, right = (F.regexp_extract(c, T.EDGE_KEY_AND_VALUE, i) for i in (1, 2))
+    halves = F.when(F.col("two"), F.transform("cell_texts", T.clean)).when(left != "", F.array(F.btrim(left), F.btrim(right))).otherwise(F.array(c, F.lit("")))
+    rows = rows.select(
+        *_walked(), "text", F.when(F.col("row"), F.col("cells")).alias("cells"), F.when(F.col("pair"), halves).alias("halves"),
+        F.when(F.col("numbered") | (F.length(t) <= 45), T.edge_unmarked(t, c)).alias("unmarked"), F.when(F.col("numbered"), T.edge_depth(t)).alias("depth"),
+    )
+    return by_document(rows, list(PLACE[1:]), lambda document: _build(document, ratio), _typed(ELEMENTS, rows), dealt=True)
+
+
+def document_counters(lines: DataFrame, ratio: float = 0.5, group: str = "doc_id", clean: bool = False) -> DataFrame:
+    """counters() of documents() by the same walk, without making the elements: lines are told
+    before they are dealt out, and no text goes along but of lines that may be running ones."""
+    own = group == "doc_id"
+    rows = _told(_taken(lines, ratio, group), clean).withColumn("held", _may_run(F.col("clean")) if own else F.lit(None).cast("string"))
+    rows = _placed(rows.select(*HANDED_ON, "held").repartition("doc_id"), F.col("held"), own).select(*_walked())
+    return by_document(rows, list(PLACE[1:]), lambda document: [_counted(document, ratio)], _typed(COUNTERS, rows), dealt=True)
+
+
+def _typed(schema: str, rows: DataFrame) -> str:
+    """The schema with the types that rows have."""
+    kinds = dict(rows.dtypes)
+    return schema.replace("doc_id long", f"doc_id {kinds['doc_id']}").replace("page_num int", f"page_num {kinds['page_num']}")
+
+
+def _taken(lines: DataFrame, ratio: float, group: str) -> DataFrame:
+    """Lines that have a place, with all columns; running: whether they are by the pages of a group
+    of documents.  Those by their own document are told in the walk, which has the whole of it."""
     if "bold" not in lines.columns:
         lines = lines.withColumn("bold", F.lit(False))
     for name, kind in (("cell_texts", "array<string>"), ("cell_xs", "array<double>")):
         if name not in lines.columns:
             lines = lines.withColumn(name, F.lit(None).cast(kind))
-    place = ["doc_id", "page_num", "line_index"]
-    lines = lines.filter(" and ".join(f"{c} is not null" for c in place))
-    t, c = F.col("text"), F.col("clean")
-    own = group == "doc_id"  # running lines are then told in the walk, which has the whole document
-    if own:
-        lines = lines.withColumn("running", F.lit(False))
-    else:
-        running = L.edge_lines(lines).withColumn("key", T.repeat_key(t)).join(L.repeated_lines(lines, ratio, group).select(group, "key"), [group, "key"], "left_semi").select(*place, F.lit(True).alias("running"))
-        lines = lines.join(running, place, "left").withColumn("running", F.coalesce("running", F.lit(False)))
-    rows = L.with_scores(lines.repartition("doc_id"))
+    lines = lines.filter(" and ".join(f"{c} is not null" for c in PLACE))
+    if group == "doc_id":
+        return lines.withColumn("running", F.lit(False))
+    running = L.edge_lines(lines).withColumn("key", T.repeat_key(F.col("text"))).join(L.repeated_lines(lines, ratio, group).select(group, "key"), [group, "key"], "left_semi").select(*PLACE, F.lit(True).alias("running"))
+    return lines.join(running, list(PLACE), "left").withColumn("running", F.coalesce("running", F.lit(False)))
+
+
+def _may_run(c: Column) -> Column:
+    """The clean text where its key may be short enough, else null."""
+    return F.when((F.length(c) <= 120) | c.rlike("[0-9]"), c)
+
+
+def _told(lines: DataFrame, clean: bool) -> DataFrame:
+    """What a line is by itself."""
+    given = F.coalesce(F.size("cell_texts"), F.lit(0))
+    pair = (F.col("two") & (F.length(F.get("cell_texts", F.lit(0))) <= 42) & (F.length(F.get("cell_texts", F.lit(1))) > 0)) | F.col("key_value")
+    cells = F.when(given >= 2, F.filter(F.transform("cell_texts", T.clean), lambda x: x != "")).otherwise(F.col("found_cells"))
+    rows = L.told(lines, clean).withColumns({"two": given == 2, "many": given > 1, "cells": cells, "signature": T.edge_is_signature(F.col("text"), F.col("clean"))})
+    alone = (F.size("cells") >= 3) | ((F.size("cells") >= 2) & F.forall("cells", lambda x: F.length(x) <= 50)) | F.col("text_row")
+    return rows.withColumns({"pair": pair, "n_cells": F.size("cells"), "alone": alone})
+
+
+def _placed(rows: DataFrame, may_run: Column, own: bool) -> DataFrame:
+    """What a line is by its place and its neighbours, of lines dealt out by document."""
     page, doc = W.partitionBy("doc_id", "page_num"), W.partitionBy("doc_id")
+    rows = L.placed(rows)
     rows = rows.withColumn("follows", F.lead("cell_xs").over(page.orderBy("line_index"))).withColumn("on_page", F.count(F.lit(1)).over(page)).withColumn("pages", F.when(F.min("page_num").over(doc) == F.max("page_num").over(doc), 1).otherwise(2))
     edge = (F.col("up") <= 3) | (F.col("on_page") - F.col("up") < 3)
-    key = F.when(F.lit(own) & (F.col("pages") > 1) & edge & ((F.length(c) <= 120) | c.rlike("[0-9]")), T.repeat_key(t, c))
-    given = F.coalesce(F.size("cell_texts"), F.lit(0))
-    two = given == 2
-    pair = (two & (F.length(F.get("cell_texts", F.lit(0))) <= 42) & (F.length(F.get("cell_texts", F.lit(1))) > 0)) | F.col("key_value")
-    rows = rows.withColumns({"key": key, "pair": pair, "cells": F.when(given >= 2, F.filter(F.transform("cell_texts", T.clean), lambda x: x != "")).otherwise(F.col("found_cells"))})
-    rows = rows.withColumn("alone", (F.size("cells") >= 3) | ((F.size("cells") >= 2) & F.forall("cells", lambda x: F.length(x) <= 50)) | F.col("text_row"))
-    rows = rows.withColumn("row", F.col("alone") | same_columns(F.col("cell_xs"), F.col("follows")))
-    left, right = (F.regexp_extract(c, T.EDGE_KEY_AND_VALUE, i) for i in (1, 2))
-    halves = F.when(two, F.transform("cell_texts", T.clean)).when(left != "", F.array(F.btrim(left), F.btrim(right))).otherwise(F.array(c, F.lit("")))
-    n = F.length(t)
-    short = (n.between(2, 55)) & ~F.col("numbered") & ~F.col("pair") & ~F.col("alone") & ~(given > 1) & (F.col("font_size") < F.col("body") + 1.5) & ~(F.col("bold") & (F.col("gap_before") >= F.col("body") * 1.25))
-    rows = rows.select(
-        *place, "text", F.col("x").cast("double").alias("x"), F.col("gap_before").cast("double").alias("gap_before"), "running", F.when(F.length("key").between(4, 120), F.col("key")).alias("key"), T.edge_is_signature(t, c).alias("signature"), "text_row", "row", F.when(F.col("row"), F.col("cells")).alias("cells"),
-        "pair", F.when(F.col("pair"), halves).alias("halves"), "numbered", F.when(F.col("numbered") | (n <= 45), T.edge_unmarked(t, c)).alias("unmarked"), F.when(F.col("numbered"), T.edge_depth(t)).alias("depth"), "level", n.cast("double").alias("n"), "body", short.alias("short"),
-    )
-    kinds = dict(rows.dtypes)
-    schema = ELEMENTS.replace("doc_id long", f"doc_id {kinds['doc_id']}").replace("page_num int", f"page_num {kinds['page_num']}")
-    return by_document(rows, place[1:], lambda document: _build(document, ratio), schema, dealt=True)
+    key = F.when(F.lit(own) & (F.col("pages") > 1) & edge, T.repeat_key(may_run, may_run))
+    n = F.col("__length")
+    short = (n.between(2, 55)) & ~F.col("numbered") & ~F.col("pair") & ~F.col("alone") & ~F.col("many") & (F.col("font_size") < F.col("body") + 1.5) & ~(F.col("bold") & (F.col("gap_before") >= F.col("body") * 1.25))
+    return rows.withColumns({"key": key, "row": F.col("alone") | same_columns(F.col("cell_xs"), F.col("follows")), "short": short})
+
+
+def _walked() -> list[Column]:
+    """Columns that the walk asks for, of rows that are placed."""
+    key = F.when(F.length("key").between(4, 120), F.col("key")).alias("key")
+    return [*map(F.col, PLACE), F.col("x").cast("double").alias("x"), F.col("gap_before").cast("double").alias("gap_before"), F.col("running"), key, F.col("__length").cast("double").alias("n"), *map(F.col, WALKED)]
 
 
 def _stretch(b: list, i: int, test) -> int:
@@ -150,45 +197,73 @@ def _running(document: list, ratio: float) -> set[str]:
     return {key for key, pages in Counter(key for _, key in found).items() if pages >= least}
 
 
-def _build(document: list, ratio: float) -> list[tuple]:
-    """(ord, page_num, elem_type, text, n_items, cells, items, of_pairs) of a document's lines."""
-    out, repeated = [], _running(document, ratio)
-    cell = lambda r, c, head, text: {"row_no": r, "col_no": c, "type": "TH" if head else "TD", "text": text}
-    for page, part in groupby(document, key=attrgetter("page_num")):
+def _parts(document: list, ratio: float) -> Iterator[tuple]:
+    """(elem_type, lines, rows with cells, list items bear marks) of a document's elements in order;
+    tables without such rows are made of pairs."""
+    repeated = _running(document, ratio)
+    for _, part in groupby(document, key=attrgetter("page_num")):
         b, i = list(part), 0
-        add = lambda kind, text="", n=0, cells=None, items=None, pairs=False, page=page: out.append((page, kind, text, n, cells, items, pairs))
         while i < len(b):
-            line = b[i]
+            line, kind, rows, marked, end = b[i], None, None, False, i + 1
             if line.running or line.key in repeated:
-                add("Artifact", line.text)
-                i += 1
-                continue
-            if line.signature:
-                add("Figure", line.text)
-                i += 2 if i + 1 < len(b) and b[i + 1].n <= 80 and not b[i + 1].text_row else 1
-                continue
-            end = _stretch(b, i, lambda j: b[j].row)
-            table = [x.cells for x in b[i:end] if len(x.cells) >= 2]
-            if len(table) >= 2 and sum(abs(len(r) - len(table[0])) <= 1 for r in table) >= math.ceil(0.6 * len(table)):
-                head = has_header(table)
-                add("Table", n=len(table), cells=[cell(r, c, head and r == 0, x) for r, row in enumerate(table) for c, x in enumerate(row)])
-                i = end
-                continue
-            end = _stretch(b, i, lambda j: b[j].pair)
-            if end - i >= 3:
-                add("Table", n=end - i, cells=[cell(r, c, c == 0, x) for r, line in enumerate(b[i:end]) for c, x in enumerate(line.halves)], pairs=True)
-                i = end
-                continue
-            end, marked = _items(b, i)
-            if end - i >= 2:
-                add("L", n=end - i, items=[{"text": x.unmarked, "depth": _depth(x, line.x)} if marked else {"text": x.text, "depth": 1} for x in b[i:end]])
-                i = end
-                continue
-            add("P" if line.level is None else f"H{line.level}", line.text)
-            i += 1
+                kind = "Artifact"
+            elif line.signature:
+                kind = "Figure"
+                end += end < len(b) and b[end].n <= 80 and not b[end].text_row
+            elif line.row:
+                stop = _stretch(b, i, lambda j: b[j].row)
+                table = [x for x in b[i:stop] if x.n_cells >= 2]
+                if len(table) >= 2 and sum(abs(x.n_cells - table[0].n_cells) <= 1 for x in table) >= math.ceil(0.6 * len(table)):
+                    kind, rows, end = "Table", table, stop
+            if kind is None and line.pair:
+                stop = _stretch(b, i, lambda j: b[j].pair)
+                if stop - i >= 3:
+                    kind, end = "Table", stop
+            if kind is None and (line.short or line.numbered):  # else no list starts here
+                stop, marked = _items(b, i)
+                if stop - i >= 2:
+                    kind, end = "L", stop
+            if kind is None:
+                kind = "P" if line.level is None else f"H{line.level}"
+            yield kind, b[i:end], rows, marked
+            i = end
+
+
+def _build(document: list, ratio: float) -> list[tuple]:
+    """(ord, page_num, elem_type, text, n_items, cells, items, of_pairs) of a document's lines."""
+    out = []
+    cell = lambda r, c, head, text: {"row_no": r, "col_no": c, "type": "TH" if head else "TD", "text": text}
+    for kind, part, rows, marked in _parts(document, ratio):
+        line, n, text, cells, items, pairs = part[0], 0, "", None, None, False
+        if kind == "Table" and rows:
+            table = [x.cells for x in rows]
+            n, head = len(table), has_header(table)
+            cells = [cell(r, c, head and r == 0, x) for r, row in enumerate(table) for c, x in enumerate(row)]
+        elif kind == "Table":
+            n, pairs = len(part), True
+            cells = [cell(r, c, c == 0, x) for r, x in enumerate(part) for c, x in enumerate(x.halves)]
+        elif kind == "L":
+            n = len(part)
+            items = [{"text": x.unmarked, "depth": _depth(x, line.x)} if marked else {"text": x.text, "depth": 1} for x in part]
+        else:
+            text = line.text
+        out.append((line.page_num, kind, text, n, cells, items, pairs))
     return [(i, *x) for i, x in enumerate(_headed(out))]
 
 
+def _counted(document: list, ratio: float) -> tuple:
+    """The counters of a document's lines; as in _headed, a short paragraph may stand in for headings."""
+    found, stands_in = Counter(), False
+    for kind, part, rows, _ in _parts(document, ratio):
+        found[kind] += 1
+        if kind == "Table" and not rows:
+            found["pairs"] += 1
+        elif kind == "P" and 0 < part[0].n <= 100:
+            stands_in = True
+    headings = found["H1"] + found["H2"] + found["H3"] or int(stands_in)
+    return found["Table"], found["L"], headings, found["Artifact"], found["Figure"], found["pairs"]
+
+
 def _headed(elements: list[tuple]) -> list[tuple]:
     """Heading levels as structure.clamped_headings has them; in documents without a heading the
     first paragraph of at most 100 characters becomes one."""

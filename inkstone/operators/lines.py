@@ -55,43 +55,60 @@ def heading_scores(lines: DataFrame) -> DataFrame:
 
 def with_scores(lines: DataFrame) -> DataFrame:
     """lines with score and level, by windows over one exchange, and what these are made from: clean,
-    found_cells, text_row, numbered, key_value, body (the page's median size) and up (place on the page).
+    found_cells, text_row, numbered, key_value, body (the page's median size) and up (place on the page)."""
+    return placed(told(lines)).drop("__n", "__length", "__points")
 
-    Neighbours are looked at by their lengths, so that texts aren't copied from row to row; tests
-    of a text stand behind those of its length.
+
+#: Lines of more characters get no points for their width.
+NARROW = 80
+
+
+def told(lines: DataFrame, clean: bool = False) -> DataFrame:
+    """lines with what each is by its text: clean, found_cells, text_row, numbered, key_value, and
+    what placed() asks for: __length, __n (of the clean text) and __points, the text's own part of
+    the score, null where a line cannot be a heading.
+
+    Tests of a text stand behind those of its length.  clean: texts are clean already.
     """
     if "bold" not in lines.columns:
         lines = lines.withColumn("bold", F.lit(False))
+    text, t, n = F.col("text"), F.col("clean"), F.col("__n")
+    rows = lines.withColumn("clean", text if clean else T.cleaned(text))
+    rows = rows.withColumns({"__n": F.length(t), "__length": F.length(text), "found_cells": T.edge_cells(text, t), "numbered": T.edge_is_numbered(text), "key_value": T.edge_is_key_value(text, t)})
+    rows = rows.withColumn("text_row", T.edge_is_row(text, F.col("found_cells")))
+    points = _add(1, n <= 70) + _add(1, ~t.rlike(r"[.!?]$")) + _add(1, t.rlike(r"^[0-9]+(?:\.[0-9]+){0,2}" + T.WS + "+" + T.NWS)) + _add(0.5, t.rlike(r"[:\x{FF1A}]$"))
+    out = (n == 0) | (n > 95) | F.col("numbered") | F.col("key_value") | F.col("text_row")
+    return rows.withColumn("__points", F.when(out, F.lit(None).cast("double")).otherwise(points))
+
+
+def placed(rows: DataFrame) -> DataFrame:
+    """Rows of told() with up, body, score and level.  No text is looked at: neighbours are by their
+    lengths, so texts need not be there."""
     by_line = W.partitionBy("doc_id", "page_num").orderBy("line_index")
     page = W.partitionBy("doc_id", "page_num")
-    text, t = F.col("text"), F.col("clean")
-    rows = lines.withColumn("clean", T.cleaned(text)).withColumn("__blank", F.coalesce(t == "", F.lit(True)))
-    rows = rows.withColumns({"up": F.row_number().over(by_line), "__first": F.coalesce(F.lag("__blank").over(by_line), F.lit(True)), "__last": F.coalesce(F.lead("__blank").over(by_line), F.lit(True)), "__next": F.lead(F.length(text)).over(by_line), "__next_gap": F.lead("gap_before").over(by_line)})
+    n, blank = F.col("__n"), F.coalesce(F.col("__n") == 0, F.lit(True))
+    rows = rows.withColumns({"up": F.row_number().over(by_line), "__first": F.coalesce(F.lag(blank).over(by_line), F.lit(True)), "__last": F.coalesce(F.lead(blank).over(by_line), F.lit(True)), "__next": F.lead("__length").over(by_line), "__next_gap": F.lead("gap_before").over(by_line)})
     rows = rows.withColumn("body", F.percentile("font_size", 0.5).over(page))
-    rows = rows.withColumns({"found_cells": T.edge_cells(text, t), "numbered": T.edge_is_numbered(text), "key_value": T.edge_is_key_value(text, t)})
-    rows = rows.withColumn("text_row", T.edge_is_row(text, F.col("found_cells")))
-    n = F.length(t)
-    add = lambda points, test: F.when(F.coalesce(test, F.lit(False)), float(points)).otherwise(0.0)
     score = (
-        add(1, n <= 70)
-        + add(1, ~t.rlike(r"[.!?]$"))
-        + add(1, t.rlike(r"^[0-9]+(?:\.[0-9]+){0,2}" + T.WS + "+" + T.NWS))
-        + add(1, F.col("line_index") <= 4)
-        + add(1, F.col("__first"))
-        + add(1, F.col("__last") | (F.col("__next") > n + 20))
-        + add(0.5, t.rlike(r"[:\x{FF1A}]$"))
-        + add(2, F.col("font_size") >= F.col("body") + 1.5)
-        + add(1, F.col("font_size") >= F.col("body") + 3)
-        + add(1.5, F.col("bold"))
-        + add(1.5, (F.col("gap_before") > 0) & (F.col("gap_before") >= F.col("body") * 1.35))
-        + add(0.75, F.col("__next_gap") >= F.col("body") * 1.05)
-        + add(0.75, (F.col("width") > 0) & (F.col("width") < 430) & (n <= 80))
+        F.col("__points")
+        + _add(1, F.col("line_index") <= 4)
+        + _add(1, F.col("__first"))
+        + _add(1, F.col("__last") | (F.col("__next") > n + 20))
+        + _add(2, F.col("font_size") >= F.col("body") + 1.5)
+        + _add(1, F.col("font_size") >= F.col("body") + 3)
+        + _add(1.5, F.col("bold"))
+        + _add(1.5, (F.col("gap_before") > 0) & (F.col("gap_before") >= F.col("body") * 1.35))
+        + _add(0.75, F.col("__next_gap") >= F.col("body") * 1.05)
+        + _add(0.75, (F.col("width") > 0) & (F.col("width") < 430) & (n <= NARROW))
     )
-    out = (t == "") | (n > 95) | F.col("numbered") | F.col("key_value") | F.col("text_row")
     threshold = F.when((F.col("font_size") > F.col("body")) | F.col("bold"), 3.5).otherwise(4.25)
     level = F.when((F.col("line_index") <= 4) | (F.col("font_size") >= F.col("body") + 4), 1).when((F.col("font_size") >= F.col("body") + 2) | F.col("bold"), 2).otherwise(3)
-    rows = rows.withColumn("score", F.when(out, 0.0).otherwise(score))
-    return rows.withColumn("level", F.when(F.col("score") >= threshold, level)).drop("__blank", "__first", "__last", "__next", "__next_gap")
+    rows = rows.withColumn("score", F.coalesce(score, F.lit(0.0)))
+    return rows.withColumn("level", F.when(F.col("score") >= threshold, level)).drop("__first", "__last", "__next", "__next_gap")
+
+
+def _add(points: float, test: Column) -> Column:
+    return F.when(F.coalesce(test, F.lit(False)), float(points)).otherwise(0.0)
 
 
 def document_quality(documents: DataFrame) -> DataFrame:

@@ -29,6 +29,73 @@ def test_edge_counters_add_no_join(spark):
     assert {r.doc_id: (r.artifacts, r.headings) for r in df.collect()}[1] == (4, 1)
 
 
+def odd_lines(spark):
+    """Two documents of blocks with and without cells, sizes, widths and gaps that are missing, and texts of every kind."""
+    texts = ["Report 2024-01-1 page 1", "x|y", "signed", "Name: a", "Phone: 1", "Town: b", "1. one", "1.1 two", "a) three", "| a | b |", "| 1 | 2 | 3 |", "", None, "word", "words", "other", "a\tb", "a  b  c", "12 and 13", "long " * 40 + "7", "short:", "Ende.", "______", "tail"]
+    rows = []
+    for doc in (1, 2, None):
+        for i in range(120):
+            t = texts[(i * 7 + i // 24 if doc == 1 else i) % 24] if i % 12 else f"Head {i}"
+            cells = ([t, "v"] if i % 5 == 0 else [t, "v", ""], [0.0, 90.0, 180.0][: 2 + (i % 5 > 0)]) if t and doc == 1 and i % 9 in (3, 4, 5) else (None, None)
+            rows.append((doc, i // 12 + 1 if i != 50 else None, i % 12, t, float(i % 4 * 12), 200.0 if i % 3 else None, 10.0 + i % 6 if i % 19 else None, i % 7 == 0 if i % 23 else None, 14.0 * (i % 3) if i % 13 else None, *cells))
+    return spark.createDataFrame(rows, "doc_id long, page_num int, line_index int, text string, x double, width double, font_size double, bold boolean, gap_before double, cell_texts array<string>, cell_xs array<double>")
+
+
+@pytest.mark.parametrize("ratio, group", [(0.5, "doc_id"), (0.1, "doc_id"), (0.5, "source")])
+def test_counters_from_lines_are_those_of_elements(spark, ratio, group):
+    for lines in (odd_lines(spark), bridge.text_lines(paged(spark))):
+        lines = lines.withColumn("source", F.lit("s"))
+        expected = edge.counters(edge.documents(lines, ratio, group))
+        got = edge.document_counters(lines, ratio, group)
+        assert got.columns == expected.columns and [t for _, t in got.dtypes] == [t for _, t in expected.dtypes]
+        assert sorted(got.collect()) == sorted(expected.collect()) and got.count() == 2
+    total = edge.document_counters(odd_lines(spark)).groupBy().sum().first()
+    assert all(total[f"sum({c})"] > 0 for c in got.columns), total
+
+
+def test_edge_counters_deal_out_no_long_texts(spark, data):
+    """Counting needs no element: neither texts nor cells go to Python, and only texts of lines that may run are dealt out."""
+    from inkstone.plans import catalog
+
+    df = catalog.QUERIES["edge_counters"](spark, data)
+    said = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    walk = next(i for i, x in enumerate(said) if "MapInArrow" in x)
+    dealt = next(i for i, x in enumerate(said) if "RepartitionByExpression" in x)
+    above = "\n".join(said[walk:dealt])
+    assert "text#" not in above and "cells#" not in above.replace("n_cells#", "") and "clean#" not in above
+    expected = catalog.QUERIES["edge_documents"](spark, data)
+    assert sorted(df.collect()) == sorted(edge.counters(expected).collect())
+
+
+def test_columns_are_listed_as_they_are():
+    import pyarrow as pa
+
+    from inkstone.operators.walk import _listed
+
+    for values, kind in (([1, None, 2**62], pa.int64()), ([1, 2], pa.int32()), ([True, None], pa.bool_()), ([True, False], pa.bool_()), ([None, None], pa.string()), (["a", None, ""], pa.string()), ([["a", None], None], pa.list_(pa.string())), ([None], pa.bool_()), ([], pa.int64())):
+        got = _listed(pa.array(values, kind))
+        assert got == values and [type(x) for x in got] == [type(x) for x in values]
+    assert str(_listed(pa.array([1.5, None], pa.float64()))) == "[1.5, nan]"
+
+
+def test_texts_are_split_and_cleaned_as_by_patterns(spark):
+    texts = ["a\r\nb\r\r\nc\rd\n\n e ", "\r\n", "", None, *(f"x{b}{b}y{b}\n{b}z" for b in T.BLANKS), "é–ü\u3000x", "”q“\r"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    old = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), r"\r?\n", -1), T.clean), lambda t: t != "")
+    expected = sorted((r.doc_id, r.text) for r in df.select("doc_id", F.explode(old).alias("text")).collect())
+    got = bridge.text_lines(df)
+    assert sorted((r.doc_id, r.text) for r in got.collect()) == expected
+    few = {(r.doc_id, r.line_index): r.width for r in bridge.text_lines(df, measured=1).collect()}
+    assert {(r.doc_id, r.line_index): r.width if len(r.text) <= 1 else None for r in got.collect()} == few
+
+
+def test_key_and_value_looks_for_a_colon_first(spark):
+    texts = ["a: b", "ab: c", "ab：c", "ab:", "ab: ", "x" * 40 + ":y", "x" * 41 + ":y", "é😀: z", "😀" * 40 + ":y", "a:b:c", ": a", "no", "", None]
+    t = F.col("t")
+    for r in spark.createDataFrame([(x,) for x in texts], "t string").select("t", T.clean(t).rlike(T.EDGE_KEY_VALUE), T.edge_is_key_value(t)).collect():
+        assert r[1] == r[2], r
+
+
 @pytest.mark.parametrize("rows", [7, 10000])
 def test_running_lines_of_documents_that_batches_part(spark, rows):
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
